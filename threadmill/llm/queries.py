@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from threadmill.llm.packing import op10_best_fit_packing
-from threadmill.llm.token_files import op3_token_files
+from threadmill.llm import chat_format, mixing, near_dedup, packing, token_files, url_filter
 
 QUERIES = {
-    "op3_token_files": op3_token_files,
-    "op10_best_fit_packing": op10_best_fit_packing,
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_token_files": token_files.op3_token_files,
+    "op5_chat_format": chat_format.op5_chat_format,
+    "op7_url_filters": url_filter.op7_url_filters,
+    "op9_near_duplicates": near_dedup.op9_near_duplicates,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op5_chat_format": chat_format.ORACLE,
+    "op7_url_filters": url_filter.ORACLE,
 }
-ORACLES: dict[str, str] = {}

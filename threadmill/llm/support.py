@@ -80,19 +80,21 @@ def is_held_out(doc_id) -> bool:
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, into: str) -> DataFrame:
     """Exclusive prefix sums of ``value`` within pieces: ``group`` names the pieces of a range-partitioned table,
-    its first columns the sequences and its last column the piece number.  Two levels: sums of pieces, and a window within each.
+    its first columns the sequences and its last column the piece number (none of them null).  Two levels: sums of pieces, and a window within each.
     """
     piece = group[-1]
     sums = df.groupBy(*group).agg(F.sum(value).alias("__sum"))
     over = Window.partitionBy(*group[:-1]).orderBy(piece) if group[:-1] else Window.partitionBy(F.lit(1)).orderBy(piece)
     sums = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
     within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
-    a = df.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return a.alias("a").join(sums.alias("b"), cond).select("a.*", (F.col("b.__base") + F.col("a.__within")).alias(into)).drop("__within")
+    placed = df.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    # equality on non-null keys: the join finds the rows where the window left them
+    return placed.join(sums, group).withColumn(into, F.col("__base") + F.col("__within")).drop("__base", "__within")
+
+
+def never_null(name: str, kind: str) -> Column:
+    """A grouping key that stands for the column and is null for no row."""
+    return F.struct(F.col(name).isNull().alias("is_null"), F.coalesce(F.col(name), F.lit("" if kind == "string" else 0).cast(kind)).alias("value"))
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
