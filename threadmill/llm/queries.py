@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from threadmill.llm import chat_format, mixing, near_dedup, packing, token_files, url_filter
+from threadmill.llm import chat_format, mixing, near_dedup, packing, quality, token_files, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_token_files": token_files.op3_token_files,
     "op5_chat_format": chat_format.op5_chat_format,
     "op7_url_filters": url_filter.op7_url_filters,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_near_duplicates": near_dedup.op9_near_duplicates,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
