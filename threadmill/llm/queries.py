@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from threadmill.llm import chat_format, mixing, near_dedup, packing, quality, token_files, url_filter
+from threadmill.llm import chat_format, mixing, near_dedup, packing, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_token_files": token_files.op3_token_files,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_format": chat_format.op5_chat_format,
     "op7_url_filters": url_filter.op7_url_filters,
     "op8_quality_classifier": quality.op8_quality_classifier,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_format": chat_format.ORACLE,
     "op7_url_filters": url_filter.ORACLE,
 }
