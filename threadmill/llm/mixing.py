@@ -11,8 +11,13 @@ small one has, each of fewer than about ``PART_ROWS`` rows, so no task holds a s
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from threadmill.llm import support
@@ -77,20 +82,34 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, p
     return s.withColumn("epochs", epochs).withColumn("last", last).withColumn("taken", F.col("epochs") * F.col("size") + F.col("last")).drop("part", "__source")
 
 
+@F.arrow_udf(T.StringType())
+def _first_words(text: pa.Array, words: pa.Array) -> pa.Array:
+    """The start of each text up to the end of its first ``words`` words; null for null."""
+    out = []
+    for t, n in zip(text, words, strict=True):
+        t, n = t.as_py(), n.as_py()
+        if t is not None:
+            end = next(islice(re.finditer(support.WORD, t), n - 1, None)).end()
+            t = t[:end]
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as the epochs take it, and where the cut
     falls in a document, its first words up to the cut.  Documents without words stay once (they cost nothing).
     """
     names = docs.columns
+    support.bounded_batches(docs.sparkSession)
     keyed = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), "doc_id", "source", "text")
     words = F.coalesce(F.regexp_count("text", F.lit(support.WORD)), F.lit(0)).cast("bigint")
     key = F.md5(F.concat(F.lit(SEED + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     out = mix(keyed.select("row", "doc_id", "source", words.alias("size"), key.alias("key")), weights, most)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("last") > 0).cast("bigint"))
     cut = (F.col("copy") > F.col("epochs")) & (F.col("last") < F.col("size"))
-    head = F.expr(rf"regexp_extract(row.text, concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){{', last, '}}'), 0)")
     exploded = out.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    text = F.when(cut, head).otherwise(F.col("row.text"))
+    exploded = exploded.withColumn("head", _first_words(F.when(cut, F.col("row.text")), F.col("last")))  # null for all rows but one of a source
+    text = F.when(cut, F.col("head")).otherwise(F.col("row.text"))
     return exploded.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names])
 
 

@@ -114,7 +114,7 @@ def confirm(sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[int]
 
 
 def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, name (null where the set is empty) and sig of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, name (null where the set is empty) and sig of every row of ``docs`` (doc_id, text)."""
     support.bounded_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +125,10 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full))
                 names = [set_name(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([next(sig).tobytes() if x else None for x in names], pa.binary())], ["doc_id", "n_shingles", "name", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([next(sig).tobytes() if x else None for x in names], pa.binary())], ["doc_id", "text_hash", "n_shingles", "name", "sig"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(task, "doc_id bigint, n_shingles bigint, name binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(task, "doc_id bigint, text_hash bigint, n_shingles bigint, name binary, sig binary")
 
 
 def tree_nodes(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, node: int = NODE) -> tuple[DataFrame, DataFrame]:
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, cluster_sets
 
 
 def components_of(docs: DataFrame, percent: int = 85, k: int = 5, cluster_sets: int = CLUSTER_SETS, cluster_shingles: int = CLUSTER_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(sketches of all rows, (name, component_id) of every distinct set)."""
+    """(sketches of all rows, (name, root, component_id) of every distinct set)."""
     found = support.materialise(sketch(docs, k), "sketches")
     reps = support.materialise(found.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sets")
     members, joined = tree_nodes(reps)
@@ -251,7 +252,20 @@ def components_of(docs: DataFrame, percent: int = 85, k: int = 5, cluster_sets:
     named = reps.select("name", "first_id").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     named = support.materialise(named, "roots")
     low = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return found, named.join(low, "root").select("name", "component_id")
+    return found, named.join(low, "root").select("name", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, all columns kept: of each component the row with the smallest doc_id
+    (an id before none, then the smaller hash of the text).  Rows equal in doc_id and text stay once; texts without words all stay.
+    """
+    found, table = components_of(docs, percent, k)
+    root = F.coalesce("root", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_hash")).cast("binary"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash")).alias("first")
+    chosen = found.join(table, "name", "left").select(root.alias("root"), first).groupBy("root").agg(F.min("first").alias("first"))
+    keys = chosen.select(F.struct(F.col("first.doc_id").isNull().alias("is_null"), F.coalesce("first.doc_id", F.lit(0)).cast("bigint").alias("value")).alias("__id"), F.col("first.text_hash").alias("__text")).distinct()
+    keyed = docs.withColumn("__id", support.never_null("doc_id", "bigint")).withColumn("__text", F.xxhash64("text"))
+    return keyed.join(keys, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, percent: int, k: int, cluster_sets: int, cluster_shingles: int) -> DataFrame:

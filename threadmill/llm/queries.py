@@ -18,7 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
-    "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_format": chat_format.ORACLE,
     "op7_url_filters": url_filter.ORACLE,
 }
