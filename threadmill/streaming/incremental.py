@@ -41,6 +41,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}.schema").schema).parquet(path)
+
+
 def replace_conversations(spark: SparkSession, fresh: DataFrame, gone: DataFrame, path: str) -> None:
     """Put ``fresh`` rows in the place of their conversations' old ones and drop the conversations in ``gone``.
 
@@ -49,9 +53,10 @@ def replace_conversations(spark: SparkSession, fresh: DataFrame, gone: DataFrame
     """
     fresh = fresh.withColumn("bucket", bucket())
     if not exists(spark, path):
+        fresh.limit(0).write.mode("overwrite").parquet(f"{path}.schema")  # a table without rows has no file to tell its columns
         fresh.repartition("bucket").write.partitionBy("bucket").parquet(path)
         return
-    old = spark.read.parquet(path)
+    old = read_table(spark, path)
     dropped = gone.select("conversation_id").union(fresh.select("conversation_id")).distinct()
     touched = dropped.select(bucket().alias("bucket")).distinct()
     rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(dropped, "conversation_id", "left_anti")
