@@ -143,8 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
 
     rows = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(task, "doc_id bigint, label int, x array<double>").toArrow()
     y = rows["label"].to_numpy()
+    if not len(y):
+        return fit(np.empty((0, 1)), y)
     x = np.array(rows["x"].to_pylist(), float).reshape(len(y), -1)
-    order = np.lexsort((y, rows["doc_id"].to_numpy())) if len(y) else []
+    order = np.lexsort((y, rows["doc_id"].to_numpy()))
     return fit(x[order], y[order])
 
 
