@@ -26,19 +26,24 @@ SHARD, BLOCK = 8192, 2048
 DEGREE, SLACK = 32, 44
 BUILD_BEAM, SEARCH_BEAM, EXPAND = 64, 96, 4
 ALPHA = 1.2
+ENTRIES = 16
 K = 20
 
 
-def beam_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, beam: int, entry: int = 0, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, similarities) of the ``beam`` best vectors found for each query, best first; -1 fills up."""
+def beam_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, beam: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, similarities) of the ``beam`` best vectors found for each query, best first; -1 fills up.
+
+    A search enters at the first ``ENTRIES`` vectors, which have the largest norms: few edges lead to those, and many queries want them.
+    """
     b, n = len(q), len(x)
     ids = np.full((b, beam), -1, np.int64)
     sims = np.full((b, beam), -np.inf, np.float32)
     done = np.ones((b, beam), bool)
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True
-    ids[:, 0], sims[:, 0], done[:, 0] = entry, q @ x[entry], False
-    seen[:, entry] = True
+    enter = np.arange(min(ENTRIES, n, beam))
+    ids[:, enter], sims[:, enter], done[:, enter] = enter, q @ x[enter].T, False
+    seen[:, enter] = True
     live = np.arange(b)
     expand = min(expand, beam)
     while len(live):
@@ -91,7 +96,7 @@ def robust_prune(x: np.ndarray, square: float, cand: np.ndarray, sims: np.ndarra
 
 
 def build(vectors: np.ndarray, degree: int = DEGREE, slack: int = SLACK, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """(x, near): vectors with the norm component (float32), and each one's neighbours (n: none). Vector 0 is the entry."""
+    """(x, near): vectors with the norm component (float32), and each one's neighbours (n: none). The vectors are in descending norm."""
     n = len(vectors)
     v = vectors.astype(np.float64)
     norm = (v * v).sum(axis=1)
@@ -176,6 +181,8 @@ def index(vectors: DataFrame, shard: int = SHARD, most_ids: int = K + 1) -> Data
         dim, number = table["dim"][0].as_py(), table["shard"][0].as_py()
         table = table.sort_by([("k1", "ascending")])
         vec = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
+        order = np.argsort(-(vec.astype(np.float64) ** 2).sum(axis=1), kind="stable")
+        vec, table = vec[order], table.take(pa.array(order))
         ids = table["ids"].combine_chunks()
         x, near = build(vec)
         many = np.diff(ids.offsets.to_numpy())
