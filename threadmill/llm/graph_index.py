@@ -196,7 +196,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH
 
     Ties go to the smaller vec_id.  Queries that aren't usable have no rows; rows that repeat an id and its vector are one.
     """
-    support.bounded_batches(graphs.sparkSession, 4)
+    support.bounded_batches(graphs.sparkSession)
     q = usable(queries).distinct()
     n = q.count()
     q = q.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block)))))
