@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from threadmill.plans import ingest_queries  # noqa: F401  registers its queries
 from threadmill.plans import queries as Q
 
 DIR = os.environ.get("THREADMILL_TEST_DIR", "/root/testdata/sf0.001")
