@@ -84,15 +84,15 @@ def corpus_statistics(docs: DataFrame, words: list[list[str]]) -> DataFrame:
 
 
 def scored(docs: DataFrame, q: G.ParsedQuery, now_ms: int, zone: str = "UTC", exact: bool = False, scope: str = "corpus") -> DataFrame:
-    """Matching documents with their BM25 score. The statistics are one row, so they are broadcast."""
+    """Matching documents with their BM25 score."""
     words = needles(q)
     hits = docs.where(predicate(q, now_ms, zone, exact, scope))
     if not words:
         return hits.withColumn("score", F.lit(0.0))
     stats = corpus_statistics(docs, words)
-    n, avg = F.col("n"), F.col("average")
-    score = reduce(lambda a, b: a + b, [X.bm25_part(needle_count(w).cast("double"), F.size("tokens"), avg, X.idf(n, F.col(f"df{i}"))) for i, w in enumerate(words)])
-    return hits.join(F.broadcast(stats)).withColumn("score", score).drop(*stats.columns)
+    fact = stats.select(F.struct(*stats.columns).alias("s")).scalar()  # one row, planned as a subquery
+    score = reduce(lambda a, b: a + b, [X.bm25_part(needle_count(w).cast("double"), F.size("tokens"), fact["average"], X.idf(fact["n"], fact[f"df{i}"])) for i, w in enumerate(words)])
+    return hits.withColumn("score", score)
 
 
 def search(docs: DataFrame, conversations: DataFrame, query: str, now_ms: int, limit: int = 20, sort: str = "relevance", zone: str = "UTC", candidates: int | None = None, half_life_days: float = X.HALF_LIFE_DAYS, exact: bool = False) -> DataFrame:
