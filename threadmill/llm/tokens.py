@@ -19,9 +19,11 @@ from itertools import islice
 import numpy as np
 
 #: Entries of a worker's memory of pieces.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 2_400_000
 #: Pieces encoded in one call.
 CHUNK = 64
+#: Marks after letters that are a unit of their own (an apostrophe may begin a contraction, so it isn't one).
+MARKS = ".,;:!?#$%&*|"
 #: White space in Python's sense alone, or a line break of its own kind: such texts are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f\x85"
 
@@ -88,7 +90,7 @@ class Encoder:
             if p[0] == "\0":
                 known[p] = self.whole(p[1:])
                 continue
-            stem = p.rstrip(".,;:!?")
+            stem = p.rstrip(MARKS)
             bare = stem[1:] if p[0] == "\n" else stem
             if len(stem) < len(p) and bare.isalpha() and max(bare) < "ƀ":
                 parts.append((p, stem, "\2" + p[len(stem) :]))
@@ -107,7 +109,7 @@ class Encoder:
         """A run of letters followed by marks is the letters' unit, then the marks'; letters are remembered in lower case."""
         stems: dict[str, tuple[str, str]] = {}
         for p in missing:
-            stem = p.rstrip(".,;:!?")
+            stem = p.rstrip(MARKS)
             if stem and stem.isalpha() and max(stem) < "ƀ":
                 stems[p] = (stem.lower(), p[len(stem) :])
             else:
