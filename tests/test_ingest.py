@@ -7,6 +7,7 @@ import sqlite3
 import pytest
 
 from threadmill.plans.engine import Engine
+from threadmill.streaming import incremental as R
 from threadmill.sources import discovery, normalize, records, sqlite
 
 
@@ -129,6 +130,10 @@ def test_sync_and_queries(spark, tmp_path):
     assert len(ops) == 1 and ops[0]["commits"] == ["abc1234"] and ops[0]["status"] == "failed"
     assert e.trajectory(commit="abc1234").first()["relevance"] == 3
     assert e.turns(f"{cid}#e2").first()["text"] == "next"
+    assert e.ask(f"{cid}#e2").count() == 1 and e.ask("reader").first()["match_count"] == 1
+    assert e.document_count() == 9 and e.notifications().count() == 1
+    with R.WriterLock(spark, f"{e.store}/writer.lock") as lock:
+        assert lock.held and e.sync() is None
     assert e.exchanges(failed=True).count() == 1 and e.exchanges(interrupted=True).count() == 1
     assert e.stats("daily").where("bucket = 'TOTAL'").first()["turns"] == 9
     log(home, PATH, [*CLAUDE, said("assistant", "done", "03:00")])

@@ -119,6 +119,12 @@ def counts_usage(message_id: Column, has_usage: Column, window=None) -> Column:
     return has_usage & ((own == "") | ~own.eqNullSafe(before))
 
 
+def distinct_notifications(turns: DataFrame) -> DataFrame:
+    """Notifications without their repeats: one row per conversation and signature, the first delivered or queued."""
+    w = Window.partitionBy(CONV, "signature").orderBy("turn_index")
+    return turns.where(F.col("signature").isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
 def merge_blocks(blocks: DataFrame, keys: list[str], order: str, kind: str, text: str) -> DataFrame:
     """Consecutive text blocks of a record join by line ends into one; other blocks stand alone (gaps and islands)."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +59,15 @@ class Engine:
         exchanges = S.exchange_rollup(turns)
         return {"turns": turns, "exchanges": exchanges, "conversations": convs, "tool_events": events, "file_refs": refs, "git_ops": ops, "search_docs": docs}
 
-    def sync(self, full: bool = False) -> dict[str, int]:
-        """Bring the tables up to date; only conversations of new or changed files are derived anew, vanished ones go."""
+    def sync(self, full: bool = False) -> dict[str, int] | None:
+        """Bring the tables up to date; only conversations of new or changed files are derived anew, vanished ones go.
+
+        Counts of files by state, or None where another writer holds the store (queries then see its last tables).
+        """
+        with R.WriterLock(self.spark, f"{self.store}/writer.lock") as lock:
+            return self._sync(full) if lock.held else None
+
+    def _sync(self, full: bool) -> dict[str, int]:
         spark, checkpoints = self.spark, f"{self.store}/checkpoints"
         found = self.discovered()
         kinds = "path string, kind string, size bigint, mtime_ns bigint, version int"
@@ -104,6 +112,19 @@ class Engine:
         docs = stats.between(docs, "ts_ms", G.instant_ms(since, now, self.zone) if since else None, None)
         return search.search(docs, self.table("conversations"), query, now, limit, sort, self.zone)
 
+    def ask(self, text: str, literal: bool = False, **more) -> DataFrame:
+        """Turns where the text is one conversation id or exchange reference (unless ``literal``), else a search."""
+        words = text.split()
+        if not literal and len(words) == 1 and re.fullmatch(r"rg_[0-9a-fA-F]{24}(:[^#]*)?(#e[1-9][0-9]*)?", words[0]):
+            return self.turns(words[0])
+        return self.search(text, **more)
+
+    def document_count(self) -> int:
+        return self.table("search_docs").count()
+
+    def notifications(self) -> DataFrame:
+        return S.distinct_notifications(self.table("turns"))
+
     def exchanges(self, query: str | None = None, failed: bool = False, interrupted: bool = False, min_duration: str | None = None, min_turns: int | None = None, project: str | None = None, since: str | None = None, limit: int = 20, now_ms: int | None = None) -> DataFrame:
         now = self._now(now_ms)
         e = self.table("exchanges")

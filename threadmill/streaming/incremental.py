@@ -75,6 +75,24 @@ def replace_conversations(spark: SparkSession, fresh: DataFrame, gone: DataFrame
     fs_path(staged).getFileSystem(conf).delete(fs_path(staged), True)
 
 
+class WriterLock:
+    """An advisory lock: a file that only one writer can create. A loser doesn't wait; it reads what is there."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.held = False
+
+    def __enter__(self) -> WriterLock:
+        self._fs.mkdirs(self._path.getParent())
+        self.held = self._fs.createNewFile(self._path)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.held:
+            self._fs.delete(self._path, False)
+
+
 def stream_exchanges(turns: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """A streaming query over turns that hands each micro-batch to an idempotent sink; it ends when the source is drained."""
     return turns.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
