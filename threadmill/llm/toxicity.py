@@ -31,7 +31,7 @@ from threadmill.llm import quality, shingles, support
 HEAD = 4
 DISCOUNT = 0.75
 MIN_COUNT = 3
-MAX_WORDS = 2_000_000
+MAX_WORDS = 1_000_000
 #: Labelled rows that the logistic map is fitted on at most; the counts use them all.
 MAX_CALIBRATION = 20_000
 TOP = (1, 2, 3, 4, 6)
@@ -198,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     share = known.agg(F.avg("label")).first()[0]
     if share is None or share in (0.0, 1.0):
         return {"constant": 0.0 if share is None else float(np.clip(share, 0.01, 0.99))}
-    sample = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "label", "text")
+    # sorted and merged at every size: labels grow with the documents, so they are no table to broadcast
+    sample = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("doc_id", "label", "text")
     counts = support.materialise(count_words(sample), "word-counts")
     totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     totals = np.array([totals.get(k, 0) for k in range(4)], float)
