@@ -48,8 +48,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def replace_conversations(spark: SparkSession, fresh: DataFrame, gone: DataFrame, path: str) -> None:
     """Put ``fresh`` rows in the place of their conversations' old ones and drop the conversations in ``gone``.
 
-    The table is partitioned by a hash bucket of the conversation; only buckets that hold a changed
-    conversation are rewritten (dynamic partition overwrite). Rows of other conversations are carried over.
+    The table is partitioned by a hash bucket of the conversation. Where no conversation is there yet, rows are appended;
+    else only buckets with changed or new conversations are rewritten, and rows of their other conversations are carried over.
     """
     fresh = fresh.withColumn("bucket", bucket())
     if not exists(spark, path):
@@ -58,7 +58,11 @@ def replace_conversations(spark: SparkSession, fresh: DataFrame, gone: DataFrame
         return
     old = read_table(spark, path)
     dropped = gone.select("conversation_id").union(fresh.select("conversation_id")).distinct()
-    touched = dropped.select(bucket().alias("bucket")).distinct()
+    replaced = old.join(dropped, "conversation_id", "left_semi").select("bucket").distinct()
+    if replaced.isEmpty():  # all new: nothing to rewrite; a repeated run finds them and takes the other way
+        fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        return
+    touched = replaced.union(fresh.select("bucket")).distinct()
     rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(dropped, "conversation_id", "left_anti")
     merged = rest.unionByName(fresh, allowMissingColumns=True)
     staged = f"{path}.staged"  # the old files can't be read while they are overwritten
