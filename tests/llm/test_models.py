@@ -46,6 +46,26 @@ def test_odd_and_empty_tables(spark, odd_docs, name):
     assert keep(odd_docs, labels).columns == odd_docs.columns
 
 
+def test_rare_words_count(spark):
+    """A toxic word that the labelled rows hold once or twice is not an unseen word."""
+    plain = [f"the garden near house {w} was green and quiet" for w in ("one", "two", "red", "old", "new")]
+    ids = [i for i in range(400) if not is_held_out(i)]
+    rows = [(i, plain[i % 5] + (" zubrwix" if i in ids[:2] else " vlokhund" if i % 2 else ""), int(i in ids[:2] or i % 2)) for i in ids]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, plain[0] + " zubrwix"), (1001, plain[0] + " kimolat")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int")).collect()}
+    assert got[1000] > got[1001]
+
+
+def test_words_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 250"), spark.read.parquet(f"{SF}/labels.parquet")
+    want = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
+    keep = sorted(r["doc_id"] for r in toxicity.keep_ordinary(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "HOT", 50)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
+    assert sorted(r["doc_id"] for r in toxicity.keep_ordinary(docs, labels).collect()) == keep
+
+
 def brute(rows, queries, k=20):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows], float)

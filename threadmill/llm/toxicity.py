@@ -11,9 +11,10 @@ A text's evidence is the difference of the two log-likelihoods, normalised by
 length: over the whole text, and over its 1, 2, 3, 4 and 6 most telling words, because a long text may hold a
 few.  A logistic map of these to 0..1 is fitted on models of the other half of the labelled rows.
 
-Counts cover all labelled training rows.  They are pooled by (head, rest) before they leave a
-task; what tasks get is the counts of the words seen at least ``MIN_COUNT`` times, at most ``MAX_WORDS``
-of them by count, so the broadcast is bounded (40 bytes a word), while counts and corpus totals grow with the input.
+Counts cover all labelled training rows and every word.  They are pooled by word before they leave a task; the
+type counts, backoffs and parameters of all words and heads are computed in Spark and stay in tables.  Tasks get
+those of the ``HOT`` most frequent words and heads; any other word of a text is looked up by a join, so what is
+broadcast is bounded and no word is left out.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from threadmill.llm import quality, shingles, support
 
 HEAD = 4
 DISCOUNT = 0.75
-MIN_COUNT = 3
-MAX_WORDS = 1_000_000
+#: Words, and heads, whose parameters tasks hold (20 bytes each); the others are joined.
+HOT = 1 << 17
 #: Labelled rows that the logistic map is fitted on at most; the counts use them all.
 MAX_CALIBRATION = 20_000
 TOP = (1, 2, 3, 4, 6)
@@ -58,7 +59,7 @@ def units(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def count_words(sample: DataFrame) -> DataFrame:
-    """word, head, label, half, n: pooled counts over ``sample`` (doc_id, label, text)."""
+    """word, head, n0 to n3: counts by kind = label * 2 + half, pooled over ``sample`` (doc_id, label, text)."""
     support.bounded_batches(sample.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,7 @@ def count_words(sample: DataFrame) -> DataFrame:
             yield _pooled(held)
 
     parts = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(task, "word bigint, head bigint, kind int, n bigint")
-    return parts.groupBy("word", "kind").agg(F.first("head").alias("head"), F.sum("n").alias("n"))
+    return parts.groupBy("word").agg(F.first("head").alias("head"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
 
 
 def _pooled(held: list[tuple]) -> pa.RecordBatch:
@@ -89,88 +90,175 @@ def _pooled(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((word[at] & ~np.uint64(3)).view(np.int64)), pa.array(head[at].view(np.int64)), pa.array(kind[at], pa.int32()), pa.array(n, pa.int64())], ["word", "head", "kind", "n"])
 
 
-class Model:
-    """Log-likelihood differences (toxic minus ordinary) per word, from sorted tables of hashes."""
-
-    def __init__(self, word: np.ndarray, head: np.ndarray, counts: np.ndarray, totals: np.ndarray, unseen: float) -> None:
-        """word (sorted), head: hashes; counts: [words, 2] by class (ordinary, toxic); totals: words by class, over all counts."""
-        self.word = word
-        heads, at = np.unique(head, return_inverse=True)
-        self.heads = heads
-        by_head = np.zeros((len(heads), 2))
-        np.add.at(by_head, at, counts)
-        kinds = np.zeros((len(heads), 2))  # distinct rests that follow a head, by class
-        np.add.at(kinds, at, counts > 0)
-        pooled_kinds = np.zeros(len(heads))
-        np.add.at(pooled_kinds, at, 1.0)
-        n_words = max(1.0, float(len(word)))
-        base_head = (pooled_kinds + 1) / (n_words + len(heads) + 1)  # shared: heads by the distinct words they begin
-        total = np.maximum(totals, 1.0)
-        d = DISCOUNT
-        live = np.maximum((by_head > 0).sum(axis=0), 1.0)
-        p_head = (np.maximum(by_head - d, 0) + d * live * base_head[:, None]) / (total + d)
-        self.head_llr = np.log(p_head[:, 1]) - np.log(p_head[:, 0])
-        self.new_head_llr = float(np.log(d * live[1] / (total[1] + d)) - np.log(d * live[0] / (total[0] + d)))
-        seen = np.maximum(by_head, 1e-9)
-        back = np.where(by_head > 0, d * np.maximum(kinds, 1) / seen, 1.0)  # what a class leaves to the shared backoff, by head
-        back = np.minimum(back, 1.0)
-        pooled = counts.sum(axis=1)
-        p_back = (pooled / (by_head.sum(axis=1)[at] + pooled_kinds[at]))[:, None]  # shared: rests given the head, pooled over both classes
-        p_rest = np.maximum(counts - d, 0) / seen[at] + back[at] * p_back
-        self.word_llr = np.log(p_rest[:, 1]) - np.log(p_rest[:, 0]) + self.head_llr[at]
-        self.rest_llr = np.log(back[:, 1]) - np.log(back[:, 0]) + self.head_llr  # a new rest of a known head
-        self.rest_llr = np.where(pooled_kinds >= 2, self.rest_llr, 0.5 * self.rest_llr)
-
-    def differences(self, head: np.ndarray, word: np.ndarray) -> np.ndarray:
-        if not len(self.word):
-            return np.zeros(len(word))
-        word = word & ~np.uint64(3)
-        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
-        known = self.word[at] == word
-        out = self.word_llr[at]
-        new = np.flatnonzero(~known)
-        h = np.minimum(np.searchsorted(self.heads, head[new]), len(self.heads) - 1)
-        out[new] = np.where(self.heads[h] == head[new], self.rest_llr[h], self.new_head_llr)
+#: Kinds of the ordinary and of the toxic counts that a model reads: all rows, the rows of half 0, those of half 1.
+MODELS = (((0, 1), (2, 3)), ((0,), (2,)), ((1,), (3,)))
+
+
+def parameters(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(word, seen, l0 to l2), (head, seen, r0 to r2) and the value of a new head, by model: log-likelihood differences, toxic minus ordinary.
+
+    l: of a word, null where the model hasn't seen it; r: of a new rest of a known head, null where the head is new.
+    """
+    d = F.lit(DISCOUNT)
+    own = lambda m, c: sum((F.col(f"n{k}") for k in MODELS[m][c]), F.lit(0))
+    any_ = lambda x: F.sum((x > 0).cast("bigint"))
+    aggs = []
+    for m in range(3):
+        aggs += [x for c in (0, 1) for x in (F.sum(own(m, c)).alias(f"h{m}{c}"), any_(own(m, c)).alias(f"k{m}{c}"))]
+        aggs.append(any_(own(m, 0) + own(m, 1)).alias(f"kinds{m}"))
+    heads = support.materialise(counts.groupBy("head").agg(F.sum(sum((F.col(f"n{k}") for k in range(4)), F.lit(0))).alias("seen"), *aggs), "head-counts")
+    sums = []
+    for m in range(3):
+        sums += [F.sum(f"kinds{m}").alias(f"words{m}"), any_(F.col(f"kinds{m}")).alias(f"heads{m}")]
+        sums += [x for c in (0, 1) for x in (F.sum(f"h{m}{c}").alias(f"total{m}{c}"), any_(F.col(f"h{m}{c}")).alias(f"live{m}{c}"))]
+    g = {k: float(v or 0) for k, v in heads.agg(*sums).first().asDict().items()}
+    at_least_one = lambda name: max(1.0, g[name])
+    new, cols, rest = [], [], []
+    for m in range(3):
+        base = (F.col(f"kinds{m}") + 1) / (at_least_one(f"words{m}") + g[f"heads{m}"] + 1)  # shared: heads by the distinct words they begin
+        left = [DISCOUNT * at_least_one(f"live{m}{c}") for c in (0, 1)]
+        all_ = [at_least_one(f"total{m}{c}") + DISCOUNT for c in (0, 1)]
+        p_head = [(F.greatest(F.col(f"h{m}{c}") - d, F.lit(0.0)) + left[c] * base) / all_[c] for c in (0, 1)]
+        # what a class leaves to the shared backoff, by head
+        back = [F.when(F.col(f"h{m}{c}") > 0, F.least(d * F.greatest(F.col(f"k{m}{c}"), F.lit(1)) / F.col(f"h{m}{c}"), F.lit(1.0))).otherwise(1.0) for c in (0, 1)]
+        new.append(float(np.log(left[1] / all_[1]) - np.log(left[0] / all_[0])))
+        cols += [(F.log(p_head[1]) - F.log(p_head[0])).alias(f"head{m}"), back[0].alias(f"back{m}0"), back[1].alias(f"back{m}1")]
+        some = F.log(back[1]) - F.log(back[0]) + F.log(p_head[1]) - F.log(p_head[0])
+        rest.append(F.when(F.col(f"kinds{m}") >= 2, some).when(F.col(f"kinds{m}") == 1, 0.5 * some).cast("float").alias(f"r{m}"))
+    by_head = support.materialise(heads.select("head", "seen", *rest), "head-parameters")
+    joined = counts.join(heads.select("head", *[f"h{m}{c}" for m in range(3) for c in (0, 1)], *[f"kinds{m}" for m in range(3)], *cols), "head")
+    llr = []
+    for m in range(3):
+        pooled = own(m, 0) + own(m, 1)
+        p_back = pooled / (F.col(f"h{m}0") + F.col(f"h{m}1") + F.col(f"kinds{m}"))  # shared: rests given the head, pooled over both classes
+        p_rest = [F.greatest(own(m, c) - d, F.lit(0.0)) / F.greatest(F.col(f"h{m}{c}"), F.lit(1)) + F.col(f"back{m}{c}") * p_back for c in (0, 1)]
+        llr.append(F.when(pooled > 0, F.log(p_rest[1]) - F.log(p_rest[0]) + F.col(f"head{m}")).cast("float").alias(f"l{m}"))
+    by_word = support.materialise(joined.select("word", sum((F.col(f"n{k}") for k in range(4)), F.lit(0)).alias("seen"), *llr), "word-parameters")
+    support.drop_scratch(counts.sparkSession, heads)
+    return by_word, by_head, new
+
+
+class Hot:
+    """The parameters that tasks hold: sorted tables of hashes, and a column a model (NaN where the model hasn't seen the entry)."""
+
+    def __init__(self, words: DataFrame, heads: DataFrame, new: list[float], most: int) -> None:
+        self.word, self.word_llr, self.all_words = self._top(words, "word", "l", most)
+        self.head, self.rest_llr, self.all_heads = self._top(heads, "head", "r", most)
+        self.new = np.array(new)
+
+    @staticmethod
+    def _top(table: DataFrame, key: str, value: str, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        rows = table.orderBy(F.desc("seen"), key).limit(most + 1).toArrow()
+        whole = len(rows) <= most
+        rows = rows.slice(0, most)
+        keys = rows[key].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], np.stack([rows[f"{value}{m}"].to_numpy(zero_copy_only=False).astype(np.float32)[order] for m in range(3)], axis=1), whole
+
+    @property
+    def complete(self) -> bool:
+        return self.all_words and self.all_heads
+
+    @staticmethod
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), int)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return keys[at] == wanted, at
+
+    def differences(self, head: np.ndarray, word: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """By word; NaN where the tables must be asked."""
+        out = np.full(len(word), np.nan)
+        known, at = self._find(self.word, word & ~np.uint64(3))
+        if len(self.word):
+            out[known] = self.word_llr[at[known], m[known]]
+        new = np.flatnonzero(np.isnan(out) & (known | self.all_words))
+        found, at = self._find(self.head, head[new])
+        rest = np.where(found | self.all_heads, self.new[m[new]], np.nan)
+        if len(self.head):
+            own = self.rest_llr[at, m[new]]
+            rest = np.where(found & ~np.isnan(own), own, rest)
+        out[new] = rest
         return out
 
-    def evidence(self, column: pa.Array, a: int, b: int) -> np.ndarray:
-        """Length-normalised differences of texts a to b: the whole text's, and those of its most telling words."""
+    def parts(self, column: pa.Array, a: int, b: int, m: np.ndarray) -> tuple:
+        """(words, sum of differences, the largest differences of distinct words, cold) of texts a to b under models ``m``;
+        cold: (text, word, head, times) of the distinct words that aren't held here.
+        """
         n = b - a
         text, head, word = units(column, a, b)
-        llr = np.clip(self.differences(head, word), -12, 12)
+        word = word & ~np.uint64(3)
+        llr = np.clip(self.differences(head, word, m[text]), -12, 12)
         count = np.bincount(text, minlength=n)
-        out = np.zeros((n, len(TOP) + 2))
-        out[:, 0] = np.bincount(text, llr, minlength=n) / np.maximum(count, 1)
-        out[:, 1] = np.log1p(count)
+        cold = np.isnan(llr)
+        total = np.bincount(text[~cold], llr[~cold], minlength=n)
         # each distinct word of a text once: a word that a text repeats tells no more than once
         order = np.lexsort((word, -llr, text))
         own = np.ones(len(order), bool)
         own[1:] = (word[order][1:] != word[order][:-1]) | (text[order][1:] != text[order][:-1])
-        ranked, of = llr[order][own], text[order][own]
+        first = np.flatnonzero(own)
+        times = np.diff(np.append(first, len(order)))
+        first, at = order[first], np.isnan(llr[order[first]])
+        ranked, of = llr[first][~at], text[first][~at]
         distinct = np.bincount(of, minlength=n)
-        first = np.concatenate([[0], np.cumsum(distinct)])
+        base = np.concatenate([[0], np.cumsum(distinct)])
+        top = np.zeros((n, max(TOP)))
         for k in range(max(TOP)):
-            at = first[:-1] + k
             some = k < distinct
-            value = np.zeros(n)
-            value[some] = np.maximum(ranked[at[some]], 0)
-            for j, m in enumerate(TOP):
-                if k < m:
-                    out[:, 2 + j] += value / m
-        return out
+            top[some, k] = np.maximum(ranked[base[:-1][some] + k], 0)
+        return count, total, top, (text[first][at], word[first][at], head[first][at], times[at])
+
+    def evidence(self, column: pa.Array, a: int, b: int) -> np.ndarray:
+        """Length-normalised differences of texts a to b where nothing is cold: the whole text's, and those of its most telling words."""
+        count, total, top, _ = self.parts(column, a, b, np.zeros(b - a, int))
+        return np.stack([total / np.maximum(count, 1), np.log1p(count), *[top[:, :m].sum(axis=1) / m for m in TOP]], axis=1)
 
 
-def build(table: pa.Table, kinds: tuple[int, ...], totals: np.ndarray) -> Model:
-    """A model from pooled counts; kind = label * 2 + half, and only ``kinds`` are read."""
-    kind = table["kind"].to_numpy()
-    use = np.isin(kind, kinds)
-    word, head = (table[c].to_numpy()[use].view(np.uint64) for c in ("word", "head"))
-    n = table["n"].to_numpy()[use].astype(float)
-    words, first, at = np.unique(word, return_index=True, return_inverse=True)
-    counts = np.zeros((len(words), 2))
-    np.add.at(counts, (at, kind[use] // 2), n)
-    own = np.array([sum(totals[k] for k in kinds if k // 2 == c) for c in (0, 1)], float)
-    return Model(words, head[first], counts, own, 0.0)
+def evidence(docs: DataFrame, model: dict, keep: list[str], other_half: bool = False) -> DataFrame:
+    """``keep`` and x, the evidence of every row of ``docs`` (keep, text) by the model of all rows, or of those that the row's doc_id is not in."""
+    spark = docs.sparkSession
+    support.bounded_batches(spark)
+    sent = spark.sparkContext.broadcast(model["hot"])
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *keep, "text")
+    kept = T.StructType(rows.schema.fields[:-1])
+    for name, kind in (("__m", "int"), ("__n", "bigint"), ("__total", "double"), ("__top", "array<double>"), ("__cold", "array<struct<word:bigint,head:bigint,n:int>>")):
+        kept = kept.add(name, T.DataType.fromDDL(kind))
+    where = keep.index("doc_id") + 1 if other_half else 0
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(len(keep) + 1)
+            m = np.zeros(len(column), int)
+            if other_half:
+                ids = batch.column(where).to_numpy(zero_copy_only=False)
+                m = 2 - (shingles.mix(ids.astype(np.int64).astype(np.uint64)) & np.uint64(1)).astype(int)
+            _, off = shingles.text_bytes(column)
+            for a, b in shingles.slices(off):
+                count, total, top, (text, word, head, times) = sent.value.parts(column, a, b, m[a:b])
+                starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))])
+                cold = pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(head.view(np.int64)), pa.array(times, pa.int32())], ["word", "head", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c)[a:b] for c in range(len(keep) + 1)), pa.array(m[a:b], pa.int32()), pa.array(count, pa.int64()), pa.array(total, pa.float64()), pa.array(list(top), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), cold)],
+                    kept.names,
+                )
+
+    parts = rows.mapInArrow(task, kept)
+    zero = F.lit(0.0)
+    if not model["hot"].complete:
+        parts = support.materialise(parts, "evidence")
+        asked = parts.select("__row", "__m", F.inline("__cold"))
+        found = asked.join(model["words"].drop("seen"), "word", "left").join(model["heads"].drop("seen"), "head", "left")
+        pick = lambda xs: F.when(F.col("__m") == 0, xs[0]).when(F.col("__m") == 1, xs[1]).otherwise(xs[2])
+        value = F.coalesce(pick([F.col(f"l{m}") for m in range(3)]), pick([F.col(f"r{m}") for m in range(3)]), pick([F.lit(x) for x in model["hot"].new])).cast("double")
+        value = F.least(F.greatest(value, F.lit(-12.0)), F.lit(12.0))
+        # summed in one order, so that equal texts have equal scores
+        sums = found.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct(value.alias("v"), "n")), asc=False).alias("seen")).select(
+            "__row", F.aggregate("seen", zero, lambda s, x: s + x["v"] * x["n"]).alias("__more"), F.transform(F.slice("seen", 1, max(TOP)), lambda x: F.greatest(x["v"], F.lit(0.0))).alias("__rest")
+        )
+        parts = parts.drop("__cold").join(sums, "__row", "left")
+        parts = parts.withColumn("__total", F.col("__total") + F.coalesce("__more", zero)).withColumn("__top", F.sort_array(F.concat("__top", F.coalesce("__rest", F.array().cast("array<double>"))), asc=False))
+    x = F.array(F.col("__total") / F.greatest("__n", F.lit(1)), F.log1p("__n"), *[F.aggregate(F.slice("__top", 1, m), zero, lambda s, v: s + v) / m for m in TOP])
+    return parts.select(*keep, x.alias("x"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,45 +288,35 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         return {"constant": 0.0 if share is None else float(np.clip(share, 0.01, 0.99))}
     # sorted and merged at every size: labels grow with the documents, so they are no table to broadcast
     sample = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("doc_id", "label", "text")
-    counts = support.materialise(count_words(sample), "word-counts")
-    totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    totals = np.array([totals.get(k, 0) for k in range(4)], float)
-    often = counts.groupBy("word").agg(F.sum("n").alias("all")).where(F.col("all") >= MIN_COUNT).orderBy(F.desc("all"), "word").limit(MAX_WORDS)
-    table = counts.join(often.select("word"), "word").select("word", "head", "kind", "n").toArrow()
-    halves = spark.sparkContext.broadcast([build(table, (0, 2), totals), build(table, (1, 3), totals)])
+    with support.shuffles_dropped(spark):
+        counts = support.materialise(count_words(sample), "word-counts")
+        words, heads, new = parameters(counts)
+    support.drop_scratch(spark, counts)
+    model = {"words": words, "heads": heads, "hot": Hot(words, heads, new, HOT)}
     few = quality.labelled_sample(docs, labels, "toxic", MAX_CALIBRATION)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            half = (shingles.mix(ids.astype(np.int64).astype(np.uint64)) & np.uint64(1)).astype(int)
-            _, off = shingles.text_bytes(batch.column(2))
-            for a, b in shingles.slices(off):
-                both = [m.evidence(batch.column(2), a, b) for m in halves.value]
-                x = np.where((half[a:b] == 0)[:, None], both[1], both[0])  # the model that hasn't seen the row
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
-
-    rows = few.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(task, "doc_id bigint, label int, x array<double>").toArrow()
+    rows = evidence(few.select("doc_id", F.col("label").cast("int").alias("label"), "text"), model, ["doc_id", "label"], other_half=True).toArrow()
     y = rows["label"].to_numpy()
     if len(set(y.tolist())) < 2:
         return {"constant": float(np.clip(share, 0.01, 0.99))}
     x = np.array(rows["x"].to_pylist(), float).reshape(len(y), -1)
     order = np.lexsort((y, rows["doc_id"].to_numpy()))
-    return {"model": build(table, (0, 1, 2, 3), totals), "map": fit_logistic(x[order], y[order])}
+    return model | {"map": fit_logistic(x[order], y[order])}
 
 
 def score(model: dict, column: pa.Array, a: int, b: int) -> np.ndarray:
     if "constant" in model:
         return np.full(b - a, model["constant"])
+    if not model["hot"].complete:
+        raise ValueError("the model has words that only its tables hold: use with_score")
     mean, sd, w = model["map"]
-    x = (model["model"].evidence(column, a, b) - mean) / sd
+    x = (model["hot"].evidence(column, a, b) - mean) / sd
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
 def scorer(spark: SparkSession, model: dict):
     """An Arrow function of the text column: the score of each whole text."""
     support.bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast({k: v for k, v in model.items() if k not in ("words", "heads")})
 
     @F.arrow_udf(T.DoubleType())
     def toxicity_score(text: pa.Array) -> pa.Array:
@@ -249,21 +327,35 @@ def scorer(spark: SparkSession, model: dict):
     return toxicity_score
 
 
+def with_score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """``keep`` and score of every row of ``docs``."""
+    if "constant" in model or model["hot"].complete:
+        return docs.select(*keep, scorer(docs.sparkSession, model)("text").alias("score"))
+    mean, sd, w = model["map"]
+    z = sum(((F.col("x")[i] - float(mean[i])) / float(sd[i]) * float(w[i]) for i in range(len(mean))), F.lit(float(w[-1])))
+    score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    return evidence(docs, model, keep).select(*keep, score.alias("score"))
+
+
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     A null text is empty; an empty text has a score like any other.  Rows that repeat get equal scores.
     A null doc_id counts as '' for the hold-out and takes no label.  An empty table gives an empty result.
     """
-    f = scorer(docs.sparkSession, train(docs, labels))
-    out = docs.select("doc_id", support.held_out(F.col("doc_id")).alias("held_out"), f("text").alias("score"))
+    out = with_score(docs, train(docs, labels), ["doc_id"]).select("doc_id", support.held_out(F.col("doc_id")).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score below ``threshold``, all columns kept."""
-    f = scorer(docs.sparkSession, train(docs, labels))
-    return docs.where(f("text") < threshold)
+    model = train(docs, labels)
+    if "constant" in model or model["hot"].complete:
+        return docs.where(scorer(docs.sparkSession, model)("text") < threshold)
+    # a score depends on the text alone: rows are dropped by two hashes of their text
+    name = {"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(1), "text")}
+    toxic = with_score(docs.select("text").withColumns(name), model, list(name)).where(F.col("score") >= threshold).select(*name).distinct()
+    return docs.withColumns(name).join(toxic, list(name), "left_anti").select(*docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
