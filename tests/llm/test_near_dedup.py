@@ -40,6 +40,21 @@ def test_large_clusters_take_rounds(spark):
     assert result(spark, rows, cluster_sets=5, cluster_shingles=10**9) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_deepest_nodes_keep_links(spark, percent):
+    """Pairs at the threshold in nodes that stay large: hardly any is apart in every tree."""
+    rng, n = np.random.default_rng(5), 4000
+    common = percent * 2  # of a union of 200
+    x = rng.integers(1, 2**63, (n, 200), dtype=np.uint64)
+    half = common + (200 - common) // 2
+    sets = [np.sort(s) for row in x for s in (row[:half], np.concatenate([row[:common], row[half:]]))]
+    sig = N.signatures(sets)
+    reps = spark.createDataFrame([(f"{i // 2:06d}{'ab'[i % 2]}".encode(), sig[i].tobytes()) for i in range(2 * n)], "name binary, sig binary")
+    _, joined = N.tree_nodes(reps, node=1)
+    found = {bytes(r["u"])[:6] for r in joined.distinct().collect() if r["u"] != r["v"] and bytes(r["u"])[:6] == bytes(r["v"])[:6]}
+    assert 1 - len(found) / n <= 0.001
+
+
 def test_documents(spark):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = N.op9_near_duplicates(spark, SF).collect()

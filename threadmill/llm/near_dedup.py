@@ -3,12 +3,13 @@
 1. Sketch.  One pass over the texts: each document's set of word shingles, as the set's
    128-bit name, its size, and ``SIGNATURE`` minwise tokens.  Equal sets share a name, so
    copies collapse by a grouped minimum, however many there are.
-2. Chosen path.  ``TREES`` independent trees branch the distinct sets: a node picks one of the
-   minwise tokens and sends each set to the child named by its value, so sets of similarity s
+2. Chosen path.  ``TREES`` trees branch the distinct sets, each by tokens of its own: a level sends
+   each set of a node to the child named by its token's value, so sets of similarity s
    stay together with probability s.  A child of at most ``NODE`` sets is compared exhaustively
    by sketches; a larger one branches again, and after ``DEPTH`` levels its sets, which agree on
-   all tokens chosen, are joined through one of them.  A pair of similarity 0.85 is apart in
-   every tree with probability below 1e-8 at depth one and 1e-4 in the deepest nodes.
+   all tokens chosen, are joined through one of them.  A pair is apart in every tree with
+   probability (1 - s^d)^TREES at depth d: 3e-13 at depth one and 8e-5 in the deepest nodes for s = 0.80,
+   below 1e-14 and 2e-6 for 0.85.
 3. Confirmation.  The sketches' links only make clusters.  Within a cluster links are decided on
    the full sets: a set is compared with all others until the sets not yet compared lie in one
    component.  That is exact, and needs one comparison of each set for a cluster of near copies.
@@ -19,6 +20,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,9 @@ from pyspark.sql import functions as F
 
 from threadmill.llm import shingles, support
 
-#: Minwise tokens of a set, and how many must agree between two sets whose similarity may reach 0.85
-#: (fewer agree in one of a million such pairs).
-SIGNATURE, AGREE = 32, 16
-TREES, DEPTH, NODE = 10, 4, 128
+TREES, DEPTH, NODE = 18, 4, 128
+#: Minwise tokens of a set: each level of each tree has its own.
+SIGNATURE = TREES * DEPTH
 #: Sets and shingles of a cluster that one task confirms.
 CLUSTER_SETS, CLUSTER_SHINGLES = 4096, 4_000_000
 #: Bits of the filter that tells which documents' sets are needed again; a false hit costs work only.
@@ -42,6 +43,16 @@ _FLIP = _rng.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
 _TIMES = _rng.integers(0, 2**62, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def agree(percent: int) -> int:
+    """How many tokens must agree between two sets whose similarity may reach ``percent``: fewer do in less than one of a million such pairs."""
+    p, below = percent / 100, 0.0
+    for k in range(SIGNATURE + 1):
+        below += math.comb(SIGNATURE, k) * p**k * (1 - p) ** (SIGNATURE - k)
+        if below >= 1e-6:
+            return k
+    return SIGNATURE
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Minwise tokens (32 bits each) of non-empty sets, one row a set."""
     out = np.empty((len(sets), SIGNATURE), np.uint32)
@@ -92,7 +103,7 @@ def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarra
 def confirm(sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[int]:
     """The root of each set under links on full sets (exact; see the module's text)."""
     n = len(sets)
-    links, pending = Links(n), set(range(n))
+    links, pending, least = Links(n), set(range(n)), agree(percent)
     sizes = np.array([len(s) for s in sets])
     while pending:
         by_root: dict[int, list[int]] = {}
@@ -103,7 +114,7 @@ def confirm(sets: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[int]
         group = min(by_root.values(), key=lambda g: (len(g), min(g)))
         p = min(group)
         pending.discard(p)
-        near = (sigs == sigs[p]).sum(axis=1) >= AGREE
+        near = (sigs == sigs[p]).sum(axis=1) >= least
         near &= (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p]))
         near[p] = False
         cand = [j for j in np.flatnonzero(near).tolist() if links.root(j) != links.root(p)]
@@ -134,14 +145,13 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
 def tree_nodes(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, node: int = NODE) -> tuple[DataFrame, DataFrame]:
     """(members, joined): (node, name) of nodes of 2 to ``node`` sets, and links (u, v) of those that stay larger at full depth."""
     spark = reps.sparkSession
-    pick = f"substring(sig, cast(pmod(xxhash64(node), {SIGNATURE}) as int) * 4 + 1, 4)"
-    level = reps.select("name", "sig", F.explode(F.array(*[F.xxhash64(F.lit(f"tree {t}")) for t in range(trees)])).alias("node"))
+    level = reps.select("name", "sig", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree")).withColumn("node", F.xxhash64("tree"))
     members, joined = None, None
     for d in range(depth):
-        rows = level.select("name", "sig", F.xxhash64("node", F.expr(pick)).alias("node"))
-        slim = support.materialise(rows.select("node", "name"), "nodes")
+        token = F.expr(f"substring(sig, (tree * {depth} + {d}) * 4 + 1, 4)")
+        slim = support.materialise(level.select("tree", F.xxhash64("node", token).alias("node"), "name"), "nodes")
         sizes = support.materialise(slim.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("lead")).where("n > 1"), "node-sizes")
-        kept = slim.join(sizes, "node").select("node", "name", "n", "lead")
+        kept = slim.join(sizes, "node").select("tree", "node", "name", "n", "lead")
         small = kept.where(F.col("n") <= node).select("node", "name")
         members = small if members is None else members.union(small)
         large = kept.where(F.col("n") > node)
@@ -150,7 +160,7 @@ def tree_nodes(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, node: in
         if d == depth - 1:
             joined = large.select(F.col("name").alias("u"), F.col("lead").alias("v"))
             break
-        level = large.select("node", "name").join(reps.select("name", "sig"), "name")
+        level = large.select("tree", "node", "name").join(reps.select("name", "sig"), "name")
     if joined is None:
         joined = spark.createDataFrame([], "u binary, v binary")
     return members, joined
@@ -158,6 +168,7 @@ def tree_nodes(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, node: in
 
 def _compare_small(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Sketch links (u, v) within small nodes: each node's sets are linked to the least of their group."""
+    least = agree(percent)
     nodes = members.join(reps.select("name", "sig", "n"), "name").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("name", "n", "sig"))).alias("sets"))
 
     def task(batches):
@@ -169,7 +180,7 @@ def _compare_small(members: DataFrame, reps: DataFrame, percent: int) -> DataFra
                 size = np.array([s["n"] for s in sets])
                 links = Links(len(sets))
                 for i in range(len(sets) - 1):
-                    near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= AGREE
+                    near = (sig[i + 1 :] == sig[i]).sum(axis=1) >= least
                     near &= 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
                     for j in np.flatnonzero(near).tolist():
                         links.join(i, i + 1 + j)
@@ -296,7 +307,7 @@ def confirmed_in_rounds(full: DataFrame, percent: int, first_block: int = 16, pe
     cluster, and ends when the sets not yet compared lie in one component in every cluster.
     A joined row holds ``per_row`` sets of the block and one other, so memory doesn't grow with the cluster.
     """
-    spark = full.sparkSession
+    spark, least = full.sparkSession, agree(percent)
     full = support.materialise(full.select("cluster", "name", "n", "sig", "members"), "large-clusters")
     done = spark.createDataFrame([], "name binary")
     links = spark.createDataFrame([], "u binary, v binary")
@@ -322,7 +333,7 @@ def confirmed_in_rounds(full: DataFrame, percent: int, first_block: int = 16, pe
                 for row in batch.to_pylist():
                     own, sig = np.frombuffer(row["members"], np.uint64), np.frombuffer(row["sig"], np.uint32)
                     for other in row["block"]:
-                        if other["name"] == row["name"] or (np.frombuffer(other["sig"], np.uint32) == sig).sum() < AGREE:
+                        if other["name"] == row["name"] or (np.frombuffer(other["sig"], np.uint32) == sig).sum() < least:
                             continue
                         if linked(np.frombuffer(other["members"], np.uint64), [own], percent)[0]:
                             u.append(row["name"])
