@@ -51,3 +51,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_excerpt_of_every_match(spark, tmp_path):
+    from threadmill.functions.textsearch import excerpt_of
+
+    rows = [(i, 0, "user", f"line {i} has the word, {'and the other ' * (i % 40)}end" if i % 4 else "none here") for i in range(120)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.read.parquet(f"{DIR}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["excerpt"], r["highlights"]) for r in Q.excerpt_highlight(spark, str(tmp_path)).collect())
+    want = sorted((e, len(m)) for e, m in (excerpt_of(t, ["the"]) for _, _, _, t in rows if " the " in t))
+    assert len(want) == 90 and got == want

@@ -480,8 +480,7 @@ def git_timeline(spark, d):
 @register("excerpt_highlight")
 def excerpt_highlight(spark, d):
     docs = V.search_docs(spark, d).where(F.array_contains("tokens", "the"))
-    top = docs.orderBy("conversation_id", "turn_index").limit(50)
-    return top.withColumn("x", X.excerpt(F.col("text"), ["the"])).select("conversation_id", "turn_index", "x.excerpt", F.size("x.highlights").alias("highlights"))
+    return docs.withColumn("x", X.excerpt(F.col("text"), ["the"])).select("conversation_id", "turn_index", "x.excerpt", F.size("x.highlights").alias("highlights"))
 
 
 @register("mutating_classifier", "SELECT * FROM (VALUES ('git_cmd:status', false), ('git_cmd:fetch', true), ('git_pr:view', false), ('git_pr:create', true), ('git_pr:create-num:4', false)) v(facet, mutating)")
