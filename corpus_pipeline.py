@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate component, the one with the smallest id; a row that repeats stays once."""
+    """Keep one document of each near-duplicate component, at similarity 0.85 on shingles of five words, the one with the smallest id; a row that repeats stays once."""
     return near_dedup.keep_one(docs)
 
 

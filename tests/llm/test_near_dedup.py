@@ -79,6 +79,13 @@ def test_keep_one(spark, odd_docs):
     assert {r["doc_id"] for r in N.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == own
 
 
+def test_keep_one_at_80(spark):
+    rows = variants(120, seed=4, words=80)
+    own = {c for _, _, c in brute_components(rows, 80)}
+    assert own != {c for _, _, c in brute_components(rows)}
+    assert {r["doc_id"] for r in N.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=80).collect()} == own
+
+
 def test_word_hashes_follow_words():
     import pyarrow as pa
 
