@@ -15,9 +15,7 @@ FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
 
 def plain(name):
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(name))
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def both():
 def test_encoding_equals_the_library(both, name, spark):
     enc, lib = both[name]
     texts = [r[0] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    texts += ["", " ", "\n", "a\n\nb", "a \n b", "\ta", "é a ́b", "don't IT'S", "<|endoftext|>", "x\x1cy z", "a b", "THE!! ### $$$ a|b", "İ Σας ﬁ 中文　字", "a\x85b", "end "]
+    texts += ["", " ", "\n", "a\n\nb", "a \n b", "\ta", "é a ́b", "don't IT'S", "<|endoftext|>", "hi <|endoftext|> there", "a<|startoftext|>b <|endoftext|><|startoftext|>", "<|ENDOFTEXT|> x", "<| endoftext |> <|endoftext", "x\x1cy z", "a b", "THE!! ### $$$ a|b", "İ Σας ﬁ 中文　字", "a\x85b", "end "]
     assert enc.encode(texts) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
@@ -59,6 +57,13 @@ def test_bit_packing_and_random_access(vocabulary):
     assert all((x == ids).all() for (_, _, x), (_, ids) in zip(back, docs, strict=True))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "word", "Word,", " ", "\n", "é"]), max_size=8).map("".join), max_size=4))
+def test_added_tokens_are_found_as_the_library_finds_them(both, texts):
+    for enc, lib in both.values():
+        assert enc.encode(texts) == [np.asarray(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def brute_ids(rows, name):
     lib = plain(name)
     return {d: [*lib.encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}

@@ -5,7 +5,8 @@ a visible character into white space.  So a text may be cut in front of white
 space, its pieces encoded apart, and the ids joined: the result equals encoding
 the whole text.  Pieces repeat, so each worker keeps the ids of those it has seen
 (up to ``CACHE_PIECES``; then it starts anew).  Texts with unusual white space, or
-runs of it where position matters, go to the tokenizer whole.
+runs of it where position matters, go to the tokenizer whole; so do texts that hold one of
+the vocabulary's added tokens, which the tokenizer finds before it splits.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        model = json.loads(spec)["model"]
+        content = json.loads(spec)
+        model = content["model"]
+        #: Added tokens, in lower case: a normalizer may fold a text's letters before they are looked for.
+        self.added = [a["content"].lower() for a in content.get("added_tokens") or []]
         self.word_ends = model.get("end_of_word_suffix") or ""
         size = self.tokenizer.get_vocab_size(True)
         self.vocabulary = size
@@ -56,15 +59,23 @@ class Encoder:
         self.flags = flags
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        # the batch call that leaves out offsets, with one text
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _holds_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(a in low for a in self.added)
 
     def _chunks(self, pieces: list[str], text, flag: str, at_start: bool, into: dict[str, bytes], key) -> None:
         """Encode many pieces by few calls; where a unit begins (or ends) shows by its tokens."""
         it = iter(pieces)
         mark = self.flags[flag]
         while chunk := list(islice(it, CHUNK)):
-            ids = np.asarray(self.tokenizer.encode(text(chunk), add_special_tokens=False).ids, "<u4")
+            ids = self._ids(text(chunk))
             at = np.flatnonzero(mark[ids])
             if len(at) != len(chunk):
                 for p in chunk:
@@ -92,7 +103,7 @@ class Encoder:
                 continue
             stem = p.rstrip(MARKS)
             bare = stem[1:] if p[0] == "\n" else stem
-            if len(stem) < len(p) and bare.isalpha() and max(bare) < "ƀ":
+            if len(stem) < len(p) and bare.isalpha() and (bare.isascii() or max(bare) < "ƀ"):
                 parts.append((p, stem, "\2" + p[len(stem) :]))
                 if stem not in known:
                     need.add(stem)
@@ -110,7 +121,7 @@ class Encoder:
         stems: dict[str, tuple[str, str]] = {}
         for p in missing:
             stem = p.rstrip(MARKS)
-            if stem and stem.isalpha() and max(stem) < "ƀ":
+            if stem and stem.isalpha() and (stem.isascii() or max(stem) < "ƀ"):
                 stems[p] = (stem.lower(), p[len(stem) :])
             else:
                 self.known[p] = self.whole(p)
@@ -124,7 +135,7 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """The keys of a text's pieces; None where only the whole text will do."""
-        if any(c in text for c in ODD_SPACE) or "\0" in text or "\1" in text or "\2" in text:
+        if any(c in text for c in ODD_SPACE) or "\0" in text or "\1" in text or "\2" in text or self._holds_added(text):
             return None
         pieces = text.split()
         if self.word_ends:
