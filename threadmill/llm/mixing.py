@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in words.
 
-Every document gets a hash-random key (md5 of its id and a seed).  Keys are uniform, so
+Every document gets a hash-random key (md5 of a seed, its id and its text).  Keys are uniform, so
 cutting their range evenly range-partitions each source into parts of like size, without a
 sampling pass; within a source, documents are ordered by key, words are summed by a
 two-level prefix sum (sums of parts, and a window within each part), and the source is cut
@@ -15,7 +15,7 @@ import re
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -52,18 +52,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return t.withColumn("target", F.least(share_of, F.col("most").cast("double"))).drop("most")
 
 
+def size_of(text: str = "text") -> Column:
+    """Words of the whole text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(support.WORD)), F.lit(0)).cast("bigint")
+
+
+def key_of(seed: str = SEED) -> Column:
+    """The hash-random key: rows that share an id, or have none, are told apart by their texts."""
+    null = F.lit("null")
+    return F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), null), F.lit("/"), F.coalesce(F.md5("text"), null)))
+
+
 def sizes_and_keys(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size (words of the whole text), key of every row."""
-    words = F.coalesce(F.regexp_count("text", F.lit(support.WORD)), F.lit(0)).cast("bigint")
-    key = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.select("doc_id", "source", words.alias("size"), key.alias("key"))
+    return docs.select("doc_id", "source", size_of().alias("size"), key_of(seed).alias("key"))
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, part_rows: int = PART_ROWS) -> DataFrame:
     """``rows`` (doc_id, source, size, key and others) with source_size, target, before (words of its source in front), epochs and taken.
 
-    Rows that repeat are mixed apart; among equal keys the larger comes later.  A source's budget
-    is its target rounded to whole words.  An empty table gives an empty result.
+    Rows that repeat are mixed apart.  Rows of equal keys have one id and one text, so it makes no difference which
+    of them comes first.  A source's budget is its target rounded to whole words.  An empty table gives an empty result.
     """
     rows = support.materialise(rows, "mix-rows")
     n = rows.count()
@@ -101,10 +110,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """
     names = docs.columns
     support.bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), "doc_id", "source", "text")
-    words = F.coalesce(F.regexp_count("text", F.lit(support.WORD)), F.lit(0)).cast("bigint")
-    key = F.md5(F.concat(F.lit(SEED + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    out = mix(keyed.select("row", "doc_id", "source", words.alias("size"), key.alias("key")), weights, most)
+    # rows that differ in other columns alone are ordered by those, so that a repeated run cuts the same one
+    key = F.concat(key_of(), F.hex(F.xxhash64(*names)))
+    out = mix(docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), "doc_id", "source", size_of().alias("size"), key.alias("key")), weights, most)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("last") > 0).cast("bigint"))
     cut = (F.col("copy") > F.col("epochs")) & (F.col("last") < F.col("size"))
     exploded = out.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
@@ -124,7 +132,7 @@ ORACLE = rf"""
 WITH rows_ AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+         md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || coalesce(md5(text), 'null')) AS key
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows_ GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM sizes),
