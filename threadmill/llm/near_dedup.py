@@ -12,9 +12,13 @@
    below 1e-14 and 2e-6 for 0.85.
 3. Confirmation.  The sketches' links only make clusters.  Within a cluster links are decided on
    the full sets: a set is compared with all others until the sets not yet compared lie in one
-   component.  That is exact, and needs one comparison of each set for a cluster of near copies.
+   component, which needs one comparison of each set for a cluster of near copies.  Pairs whose sketches
+   agree in too few tokens aren't compared: fewer than one in a million linked pairs (``agree``).
    Clusters too large for one task are confirmed in rounds: a block of sets, doubling
-   each round, is compared with the whole cluster by tasks that hold one block each.
+   each round, is compared with the whole cluster by tasks that hold a part of each.
+
+Copies never meet: whatever is joined to a set's name goes by ``support.hot_join``, and full sets come from one
+document of each set.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ TREES, DEPTH, NODE = 18, 4, 128
 SIGNATURE = TREES * DEPTH
 #: Sets and shingles of a cluster that one task confirms.
 CLUSTER_SETS, CLUSTER_SHINGLES = 4096, 4_000_000
-#: Bits of the filter that tells which documents' sets are needed again; a false hit costs work only.
-BLOOM_BITS = 1 << 26
+#: Bits a row, and at most, of the filter that tells which documents' sets are needed again; beyond it they are joined.
+BLOOM_BITS_A_ROW, BLOOM_BITS = 16, 1 << 28
 
 _rng = np.random.default_rng(8120917)
 _FLIP = _rng.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
@@ -151,7 +155,7 @@ def tree_nodes(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, node: in
         token = F.expr(f"substring(sig, (tree * {depth} + {d}) * 4 + 1, 4)")
         slim = support.materialise(level.select("tree", F.xxhash64("node", token).alias("node"), "name"), "nodes")
         sizes = support.materialise(slim.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("lead")).where("n > 1"), "node-sizes")
-        kept = slim.join(sizes, "node").select("tree", "node", "name", "n", "lead")
+        kept = support.hot_join(slim, sizes, "node", "inner", sizes.select("node", "n")).select("tree", "node", "name", "n", "lead")
         small = kept.where(F.col("n") <= node).select("node", "name")
         members = small if members is None else members.union(small)
         large = kept.where(F.col("n") > node)
@@ -193,49 +197,65 @@ def _compare_small(members: DataFrame, reps: DataFrame, percent: int) -> DataFra
     return nodes.select("sets").mapInArrow(task, "u binary, v binary")
 
 
-def _bloom(names: DataFrame, bits: int = BLOOM_BITS) -> bytes:
-    """A Bloom filter of set names: a bit array of fixed size, filled by partial arrays that tasks merge pairwise."""
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Three bits of a Bloom filter for each key."""
+    k = keys.astype(np.int64).view(np.uint64)
+    other = shingles.mix(k ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    k = shingles.mix(k)
+    return np.stack([(k + np.uint64(j) * other) % np.uint64(bits) for j in range(3)])
+
+
+def _bloom(keys: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of ``n`` 64-bit keys, ``BLOOM_BITS_A_ROW`` bits each; tasks fill parts, which are merged by their place."""
+    bits = max(1 << 10, n * BLOOM_BITS_A_ROW) // 8 * 8
+
     def task(batches):
         own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                for at in _bloom_bits(name, bits):
-                    own[at >> 3] |= 1 << (at & 7)
+            at = _places(batch.column(0).to_numpy(), bits).ravel()
+            np.bitwise_or.at(own, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
         at = np.flatnonzero(own)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own[at], pa.int32())], ["at", "v"])
 
-    parts = names.mapInArrow(task, "at int, v int").groupBy("at").agg(F.bit_or("v").alias("v"))
+    table = keys.mapInArrow(task, "at int, v int").groupBy("at").agg(F.bit_or("v").alias("v")).toArrow()
     out = np.zeros(bits // 8, np.uint8)
-    table = parts.toArrow()
     out[table["at"].to_numpy()] = table["v"].to_numpy().astype(np.uint8)
-    return out.tobytes()
+    return out
 
 
-def _bloom_bits(name: bytes, bits: int) -> tuple[int, int]:
-    return int.from_bytes(name[:8], "little") % bits, int.from_bytes(name[8:], "little") % bits
+def _row_key():
+    """A hash of a row's doc_id and text; ``docs`` and the sketches have the same."""
+    return F.xxhash64("doc_id", "text_hash")
 
 
-def needed_sets(docs: DataFrame, names: DataFrame, k: int) -> DataFrame:
-    """(name, members) of the sets named, from a second pass over the texts; other texts are passed over after hashing."""
+def needed_sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(name, members) of the sets of the rows named by ``rows`` (key: a hash of doc_id and text), from a second pass over the texts.
+
+    The filter lets some other rows through; their names match nothing later.  More rows than the filter holds are joined by hash.
+    """
     spark = docs.sparkSession
-    filt = spark.sparkContext.broadcast(_bloom(names))
+    n = rows.count()
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).select("text", _row_key().alias("key"))
+    if n * BLOOM_BITS_A_ROW > BLOOM_BITS:
+        keyed, filt = keyed.join(rows, "key", "left_semi"), None
+    else:
+        filt = spark.sparkContext.broadcast(_bloom(rows.select("key"), n))
 
     def task(batches):
-        bits = np.frombuffer(filt.value, np.uint8)
-        total = len(bits) * 8
         for batch in batches:
-            data, off = shingles.text_bytes(batch.column(0))
+            texts = batch.column(0)
+            if filt is not None:
+                at = _places(batch.column(1).to_numpy(), len(filt.value) * 8)
+                hit = ((filt.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+                texts = texts.filter(pa.array(hit))
+            data, off = shingles.text_bytes(texts)
             for a, b in shingles.slices(off):
-                keep = []
-                for s in shingles.shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k):
-                    name = set_name(s)
-                    if len(s) and all(bits[x >> 3] >> (x & 7) & 1 for x in _bloom_bits(name, total)):
-                        keep.append((name, s.tobytes()))
+                keep = [(set_name(s), s.tobytes()) for s in shingles.shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k) if len(s)]
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keep], pa.binary()), pa.array([x[1] for x in keep], pa.binary())], ["name", "members"])
 
-    return docs.select("text").mapInArrow(task, "name binary, members binary")
+    return keyed.mapInArrow(task, "name binary, members binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, cluster_sets: int = CLUSTER_SETS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
@@ -247,7 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, cluster_sets
     and kept is true.  An empty table gives an empty result.
     """
     found, table = components_of(docs, percent, k, cluster_sets, cluster_shingles)
-    own = found.join(table, "name", "left")
+    own = support.hot_join(found.select("doc_id", "n_shingles", "name"), table.drop("root"), "name")
     comp = F.coalesce("component_id", "doc_id")
     return own.select("doc_id", "n_shingles", comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
@@ -255,15 +275,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, cluster_sets
 def components_of(docs: DataFrame, percent: int = 85, k: int = 5, cluster_sets: int = CLUSTER_SETS, cluster_shingles: int = CLUSTER_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, (name, root, component_id) of every distinct set)."""
     found = support.materialise(sketch(docs, k), "sketches")
-    reps = support.materialise(found.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sets")
+    one = found.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min(_row_key()).alias("key"))
+    reps = support.materialise(one, "sets")
     members, joined = tree_nodes(reps)
     edges = support.materialise(_compare_small(members, reps, percent).union(joined).distinct(), "sketch-links")
-    clusters = support.materialise(support.components(edges).withColumnsRenamed({"node": "name", "component": "cluster"}), "clusters")
-    roots = confirmed(docs, clusters.join(reps.select("name", "n", "sig"), "name"), percent, k, cluster_sets, cluster_shingles)
+    clusters = support.components(edges).withColumnsRenamed({"node": "name", "component": "cluster"})
+    clusters = support.materialise(clusters.join(reps.select("name", "n", "sig", "key"), "name"), "clusters")
+    roots = confirmed(docs, clusters, percent, k, cluster_sets, cluster_shingles)
     named = reps.select("name", "first_id").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     named = support.materialise(named, "roots")
     low = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return found, named.join(low, "root").select("name", "root", "component_id")
+    return found, support.materialise(support.hot_join(named, low, "root", "inner").select("name", "root", "component_id"), "set-components")
 
 
 def keep_one(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
@@ -273,20 +295,23 @@ def keep_one(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     found, table = components_of(docs, percent, k)
     root = F.coalesce("root", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_hash")).cast("binary"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash")).alias("first")
-    chosen = found.join(table, "name", "left").select(root.alias("root"), first).groupBy("root").agg(F.min("first").alias("first"))
+    own = support.hot_join(found.select("doc_id", "text_hash", "name"), table, "name")
+    chosen = own.select(root.alias("root"), first).groupBy("root").agg(F.min("first").alias("first"))
     keys = chosen.select(F.struct(F.col("first.doc_id").isNull().alias("is_null"), F.coalesce("first.doc_id", F.lit(0)).cast("bigint").alias("value")).alias("__id"), F.col("first.text_hash").alias("__text")).distinct()
     keyed = docs.withColumn("__id", support.never_null("doc_id", "bigint")).withColumn("__text", F.xxhash64("text"))
-    return keyed.join(keys, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    # rows that repeat are made one before they move, and the join finds the rows where that left them
+    return keyed.dropDuplicates(["__id", "__text"]).join(keys, ["__id", "__text"], "left_semi").select(*docs.columns)
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, percent: int, k: int, cluster_sets: int, cluster_shingles: int) -> DataFrame:
-    """(name, root) of the sets in ``clusters`` (name, cluster, n, sig) under links on full sets."""
-    clusters = support.materialise(clusters, "cluster-sets")
-    sizes = support.materialise(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight")), "cluster-sizes")
-    full = needed_sets(docs, clusters.select("name"), k).join(clusters, "name").dropDuplicates(["name"])
-    full = support.materialise(full, "full-sets")
+    """(name, root) of the sets in ``clusters`` (name, cluster, n, sig, key) under links on full sets."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("weight"))
     fits = (F.col("sets") <= cluster_sets) & (F.col("weight") <= cluster_shingles)
-    small = full.join(sizes.where(fits), "cluster", "left_semi")
+    sizes = support.materialise(sizes.select("cluster", "sets", fits.alias("fits")), "cluster-sizes")
+    # a cluster that is too large for one task is told before its sets move
+    sized = support.materialise(support.hot_join(clusters, sizes, "cluster", "inner", sizes.select("cluster", F.col("sets").alias("n"))), "sized-sets")
+    full = needed_sets(docs, sized.select("key").distinct(), k).groupBy("name").agg(F.first("members").alias("members")).join(sized.drop("key"), "name")
+    full = support.materialise(full, "full-sets")
 
     def task(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
@@ -296,55 +321,58 @@ def confirmed(docs: DataFrame, clusters: DataFrame, percent: int, k: int, cluste
         roots = confirm([sets[i] for i in order], sig[order], percent)
         return pa.table({"name": pa.array([names[i] for i in order], pa.binary()), "root": pa.array([names[order[r]] for r in roots], pa.binary())})
 
-    out = small.groupBy("cluster").applyInArrow(task, "name binary, root binary")
-    if not sizes.where(~fits).isEmpty():
-        out = out.union(confirmed_in_rounds(full.join(sizes.where(~fits), "cluster", "left_semi"), percent))
+    out = full.where("fits").select("cluster", "name", "sig", "members").groupBy("cluster").applyInArrow(task, "name binary, root binary")
+    if not sizes.where("not fits").isEmpty():
+        out = out.union(confirmed_in_rounds(full.where("not fits"), percent, part_sets=cluster_sets))
     return out
 
 
-def confirmed_in_rounds(full: DataFrame, percent: int, first_block: int = 16, per_row: int = 16) -> DataFrame:
-    """(name, root) for clusters of any size: each round compares a block of sets of each cluster with the whole
-    cluster, and ends when the sets not yet compared lie in one component in every cluster.
+def confirmed_in_rounds(full: DataFrame, percent: int, first_block: int = 16, per_row: int = 16, part_sets: int = CLUSTER_SETS) -> DataFrame:
+    """(name, root) for clusters of any size (cluster, sets, name, n, sig, members): each round compares a block of sets of each cluster
+    with the whole cluster, and ends when the sets not yet compared lie in one component in every cluster.
+    A cluster's sets are dealt to parts of about ``part_sets``, which all get the block: no task gathers a cluster.
     A joined row holds ``per_row`` sets of the block and one other, so memory doesn't grow with the cluster.
     """
     spark, least = full.sparkSession, agree(percent)
-    full = support.materialise(full.select("cluster", "name", "n", "sig", "members"), "large-clusters")
+    parts = F.ceil(F.col("sets") / part_sets).cast("bigint")
+    full = support.materialise(full.select("cluster", "name", "n", "sig", "members", parts.alias("parts"), F.pmod(F.xxhash64("name"), parts).alias("part")), "large-clusters")
+    slim = support.materialise(full.select("cluster", "name"), "large-cluster-names")
     done = spark.createDataFrame([], "name binary")
     links = spark.createDataFrame([], "u binary, v binary")
-    roots = full.select("cluster", "name", F.col("name").alias("root"))
+    roots = support.materialise(slim.withColumn("root", F.col("name")), "large-roots")
     block = first_block
     while True:
-        pending = roots.join(done, "name", "left_anti")
-        counts = pending.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("left"))
+        pending = support.materialise(roots.join(done, "name", "left_anti"), "pending")
+        counts = support.materialise(pending.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("left")), "pending-counts")
         several = counts.groupBy("cluster").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1")
         open_ = support.materialise(several, "open-clusters")
         if open_.isEmpty():
             break
         # sets of small components first, so that what is left soon is one component
-        ranked = pending.join(counts, ["cluster", "root"]).join(open_, "cluster", "left_semi")
-        chosen = _lowest(ranked, block)
-        chosen = support.materialise(chosen.join(full.select("name", "n", "sig", "members"), "name"), "block")
-        packed = chosen.withColumn("part", F.floor((F.col("place") - 1) / per_row)).groupBy("cluster", "part").agg(F.collect_list(F.struct("name", "n", "sig", "members")).alias("block"))
+        ranked = support.hot_join(pending, support.hot_join(counts, open_, "cluster", "inner").drop("roots"), ["cluster", "root"], "inner")
+        chosen = support.materialise(_lowest(ranked, block).join(full.select("name", "n", "sig", "members", "parts"), "name"), "block")
+        packed = chosen.withColumn("row", F.floor((F.col("place") - 1) / per_row)).groupBy("cluster", "row").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("name", "sig", "members")).alias("block"))
+        packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts", "row")
 
         def task(batches):
             for batch in batches:
                 u: list[bytes] = []
                 v: list[bytes] = []
                 for row in batch.to_pylist():
-                    own, sig = np.frombuffer(row["members"], np.uint64), np.frombuffer(row["sig"], np.uint32)
-                    for other in row["block"]:
-                        if other["name"] == row["name"] or (np.frombuffer(other["sig"], np.uint32) == sig).sum() < least:
-                            continue
-                        if linked(np.frombuffer(other["members"], np.uint64), [own], percent)[0]:
-                            u.append(row["name"])
-                            v.append(other["name"])
+                    sig = np.frombuffer(b"".join(x["sig"] for x in row["block"]), np.uint32).reshape(-1, SIGNATURE)
+                    near = np.flatnonzero((sig == np.frombuffer(row["sig"], np.uint32)).sum(axis=1) >= least).tolist()
+                    near = [row["block"][i] for i in near if row["block"][i]["name"] != row["name"]]
+                    if near:
+                        same = linked(np.frombuffer(row["members"], np.uint64), [np.frombuffer(x["members"], np.uint64) for x in near], percent)
+                        v += [x["name"] for x, hit in zip(near, same.tolist(), strict=True) if hit]
+                        u += [row["name"]] * int(same.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-        more = full.join(packed, "cluster").select("name", "sig", "members", "block").mapInArrow(task, "u binary, v binary")
+        more = full.join(packed, ["cluster", "part"]).select("name", "sig", "members", "block").mapInArrow(task, "u binary, v binary")
         links = support.materialise(links.union(more), "links")
         done = support.materialise(done.union(chosen.select("name")), "compared")
-        comp = support.components(links)
-        roots = support.materialise(full.select("cluster", "name").join(comp.withColumnsRenamed({"node": "name", "component": "root"}), "name", "left").select("cluster", "name", F.coalesce("root", "name").alias("root")), "large-roots")
+        comp = support.components(links).withColumnsRenamed({"node": "name", "component": "root"})
+        roots = support.materialise(slim.join(comp, "name", "left").select("cluster", "name", F.coalesce("root", "name").alias("root")), "large-roots")
         block *= 2
     return roots.select("name", "root")
 

@@ -2,8 +2,8 @@
 
 Scratch tables are Parquet under the folder that the cluster names in
 ``spark.checkpoint.dir``; every executor sees it, so a lost executor costs
-a re-read and nothing else.  Where that setting is absent (tests), a
-temporary folder takes its place.
+a re-read and nothing else.  Where that setting is absent, a temporary folder takes
+its place in a local session (tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("threadmill.scratch.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="threadmill-")
         spark.conf.set("threadmill.scratch.dir", root)
     return f"{root.rstrip('/')}/threadmill-{sc.applicationId}"
@@ -78,7 +82,10 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't add up in memory."""
+    """Bound what one Arrow batch holds, so that very long texts don't add up in memory.
+
+    The options stay set for the session: plans are lazy and read them when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -106,6 +113,34 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     return placed.join(sums, group).withColumn(into, F.col("__base") + F.col("__within")).drop("__base", "__within")
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left", counts: DataFrame | None = None, least: int = 200, most: int = 20_000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key at most and short rows; ``how`` is left or inner.
+
+    ``left`` may hold any number of rows of one key: the ``most`` most frequent keys of more than ``least`` rows meet their row of
+    ``right`` by a broadcast of ``most`` rows at most, at any size; all others, each less than 1/``most`` of ``left``, are joined by hash.
+    Rows with a null key match nothing and move nowhere.  ``left`` is read several times: it should be a written table.
+    ``counts`` (keys, n) saves counting where the caller has it.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    rows = left.where(known)
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where(F.col("n") > least).orderBy(F.desc("n"), *keys).limit(most).select(*keys).toArrow()
+    if not len(hot):
+        out = rows.join(right, keys, how)
+    else:
+        few = F.broadcast(left.sparkSession.createDataFrame(hot))
+        answers = materialise(right.join(few, keys, "left_semi"), "hot-rows")
+        out = rows.join(few, keys, "left_semi").join(F.broadcast(answers), keys, how)
+        out = out.unionByName(rows.join(few, keys, "left_anti").join(right, keys, how))
+    if how == "left":
+        kinds = {f.name: f.dataType for f in right.schema.fields}
+        nothing = [F.lit(None).cast(kinds[c]).alias(c) for c in right.columns if c not in keys]
+        out = out.unionByName(left.where(~known).select(*left.columns, *nothing))
+    return out
+
+
 def never_null(name: str, kind: str) -> Column:
     """A grouping key that stands for the column and is null for no row."""
     return F.struct(F.col(name).isNull().alias("is_null"), F.coalesce(F.col(name), F.lit("" if kind == "string" else 0).cast(kind)).alias("value"))
@@ -115,7 +150,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     """Connected components of an undirected edge table: (node, component), the component being its smallest node.
 
     Alternating large-star and small-star steps.  Each step is one grouped
-    minimum (combined before the shuffle) and one join; the edge table is written
+    minimum (combined before the shuffle) and one join that spreads hubs; the edge table is written
     after each round, and rounds grow with the logarithm of the longest path.
     Self loops and nulls are dropped; nodes without edges don't appear.
     """
@@ -125,15 +160,17 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
         if e.isEmpty():
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v")))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "lows")
+        # the edges of a node to its larger neighbours; a hub has many
+        up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = materialise(hot_join(up, low.drop("n"), "u", "inner", low.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        low2 = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "lows")
+        small = hot_join(large, low2.drop("n"), "u", "inner", low2.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v")))
         nxt = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         # a star forest: no node is both a centre and a leaf, and each leaf has one centre
         centres = nxt.select(F.col("v").alias("u")).distinct()
         bent = nxt.join(centres, "u", "left_semi").limit(1).count() or nxt.groupBy("u").count().where("count > 1").limit(1).count()
-        drop_scratch(e.sparkSession, e)
+        drop_scratch(e.sparkSession, e, low, large, low2)
         e = nxt
         if not bent:
             break
