@@ -101,7 +101,8 @@ def is_held_out(doc_id) -> bool:
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, into: str) -> DataFrame:
     """Exclusive prefix sums of ``value`` within pieces: ``group`` names the pieces of a range-partitioned table,
-    its first columns the sequences and its last column the piece number (none of them null).  Two levels: sums of pieces, and a window within each.
+    its first columns the sequences and its last column the piece (none of them null), which orders as its rows do.  Two levels: sums of
+    pieces, and a window within each.  ``df`` is read twice.
     """
     piece = group[-1]
     sums = df.groupBy(*group).agg(F.sum(value).alias("__sum"))
@@ -113,6 +114,11 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     return placed.join(sums, group).withColumn(into, F.col("__base") + F.col("__within")).drop("__base", "__within")
 
 
+def frequent(counts: DataFrame, keys: list[str], least: int = 200, most: int = 20_000) -> DataFrame:
+    """The ``most`` keys of the largest counts above ``least`` (``counts``: keys, n): a written table of that many rows at most."""
+    return materialise(counts.where(F.col("n") > least).orderBy(F.desc("n"), *keys).limit(most).select(*keys), "hot-keys")
+
+
 def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left", counts: DataFrame | None = None, least: int = 200, most: int = 20_000) -> DataFrame:
     """``left`` joined with ``right``, which has one row a key at most and short rows; ``how`` is left or inner.
 
@@ -126,11 +132,11 @@ def hot_join(left: DataFrame, right: DataFrame, keys: str | list[str], how: str
     rows = left.where(known)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") > least).orderBy(F.desc("n"), *keys).limit(most).select(*keys).toArrow()
-    if not len(hot):
+    hot = frequent(counts, keys, least, most)
+    if hot.isEmpty():
         out = rows.join(right, keys, how)
     else:
-        few = F.broadcast(left.sparkSession.createDataFrame(hot))
+        few = F.broadcast(hot)
         answers = materialise(right.join(few, keys, "left_semi"), "hot-rows")
         out = rows.join(few, keys, "left_semi").join(F.broadcast(answers), keys, how)
         out = out.unionByName(rows.join(few, keys, "left_anti").join(right, keys, how))
