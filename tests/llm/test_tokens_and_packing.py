@@ -133,6 +133,37 @@ def test_every_capacity_holds(lengths, score, weights):
         assert sorted(off[seq == s].tolist()) == np.cumsum([0, *own[:-1]]).tolist()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=60), st.sampled_from(["norm", "dot"]), st.sampled_from([(1, 0, 0), (1, 0.1, 0.1), (0.1, 1, 3)]))
+def test_each_choice_is_the_best_of_all_open_sequences(lengths, score, weights):
+    lengths = sorted(lengths, reverse=True)
+    limits = (60, 6, 2500)
+    c = packing.Capacity(*limits, weights=weights, score=score)
+    if lengths and lengths[0] > 50:
+        with pytest.raises(ValueError):
+            packing.pack_lengths(np.array(lengths), c)
+        return
+    seq, _ = packing.pack_lengths(np.array(lengths), c)
+    rooms = {}
+    for n, q in zip(lengths, seq.tolist(), strict=True):
+        need = (n, 1, n * n)
+        value = lambda r: sum(w / m**2 * ((x - y) ** 2 if score == "norm" else -x * y) for w, m, x, y in zip(weights, limits, r, need, strict=True))  # noqa: B023, E731
+        fits = {k: value(r) for k, r in rooms.items() if all(x >= y for x, y in zip(r, need, strict=True))}
+        assert (q in fits) == bool(fits)
+        if fits:
+            assert fits[q] <= min(fits.values()) + 1e-12
+        rooms[q] = tuple(x - y for x, y in zip(rooms.get(q, limits), need, strict=True))
+
+
+def test_vector_weights_cost_no_sequence(spark):
+    """The default weights of documents and attention choose between sequences and leave their number at the bound of the tokens."""
+    rng = np.random.default_rng(6)
+    lengths = np.sort(np.minimum(2048, rng.lognormal(6, 1.2, 20_000).astype(int) + 1))[::-1]
+    for c in (packing.Capacity(), packing.Capacity(weights=(1, 0, 0))):
+        seq, _ = packing.pack_lengths(lengths, c)
+        assert seq.max() + 1 <= -(-lengths.sum() // 2048) + 1
+
+
 def test_a_piece_beyond_a_capacity_fails():
     with pytest.raises(ValueError):
         packing.pack_lengths(np.array([50]), packing.Capacity(tokens=100, attention=100))
