@@ -122,3 +122,46 @@ def test_documents_recall(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = brute(rows, [r for r in rows if r[0] % 20 == 0])
     assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_quality_bins_count_ngrams():
+    """The bins against literal counts: as many as n-grams, equal for equal texts, and apart by text."""
+    import pyarrow as pa
+
+    from threadmill.llm import shingles
+
+    texts = ["ab cd ab cd", "", "é!", "x", "ab cd ab cd", "a" * 9, " ", "cd ab"]
+    data, off = shingles.text_bytes(pa.array(texts))
+    _, _, text, h = shingles.words(data, off)
+    got = quality.binned(data, off, text, h)
+    for i, t in enumerate(texts):
+        raw, words = t.encode(), t.split()
+        grams = [raw[a : a + k] for k in (2, 3, 4) for a in range(len(raw) - k + 1)]
+        pairs = [(w,) for w in words] + list(zip(words, words[1:]))
+        for part, items in ((got[i, : quality.CHAR_BINS], grams), (got[i, quality.CHAR_BINS :], pairs)):
+            counts = sorted({x: items.count(x) for x in items}.values())
+            want = np.sqrt(np.array(counts, float) / max(1, len(items)))
+            assert np.isclose((part**2).sum(), bool(items))
+            assert len(part[part > 0]) <= len(counts) and (len(part[part > 0]) < len(counts) or np.allclose(np.sort(part[part > 0]), want))
+        alone = shingles.text_bytes(pa.array([t]))
+        _, _, one, own = shingles.words(*alone)
+        assert (quality.binned(*alone, one, own)[0] == got[i]).all()
+
+
+def test_quality_fit_against_newton_on_written_differences():
+    rng = np.random.default_rng(11)
+    n = quality.CHAR_BINS + quality.WORD_BINS + 6
+    x = rng.normal(size=(300, n)).astype(np.float32)
+    y = (x[:, -1] + 0.5 * x[:, 3] + rng.normal(size=300) > 0).astype(int)
+    m = quality.fit(x, y, pairs=3000)
+    z = np.clip((x - m["mean"]) / m["sd"], -8, 8)
+    draw = np.random.default_rng(7)
+    d = z[draw.choice(np.flatnonzero(y == 1), 3000)] - z[draw.choice(np.flatnonzero(y == 0), 3000)]
+    ridge = np.where(np.arange(n) < quality.CHAR_BINS + quality.WORD_BINS, quality.BIN_RIDGE, quality.RIDGE)
+    w = np.zeros(n)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / 3000 + np.diag(ridge), d.T @ p / 3000 - ridge * w)
+    assert np.abs(z @ (m["w"] - w)).max() < 0.02 * np.abs(z @ w).max()
+    assert np.isclose(m["cut"], np.quantile(z @ m["w"], (y == 0).mean()))
+    assert np.isclose(quality.score(m, x), 1 / (1 + np.exp(-(m["scale"] * (z @ m["w"] - m["cut"]) + np.log(0.3 / 0.7))))).all()

@@ -1,9 +1,11 @@
 """Quality scores by Bradley-Terry ranking.
 
-Features describe the whole text (characters, words, lines, repetition, and the worst stretch of
-``STRETCH`` words).  A document's worth is a linear function of them, and P(a is preferred to b) =
+Features describe the whole text: how often its character n-grams (two to four bytes) and its words and word pairs
+occur, hashed to ``CHAR_BINS`` and ``WORD_BINS`` bins, and counts of characters, words, lines, repetition, and the worst stretch of
+``STRETCH`` words.  A document's worth is a linear function of them, and P(a is preferred to b) =
 1 / (1 + exp(worth(b) - worth(a))); it is fitted by logistic loss on feature differences
-of preference pairs (a document labelled good over one labelled bad).  The cut is a
+of preference pairs (a document labelled good over one labelled bad).  The differences are never written out: a pair
+adds to the gradient of its two documents.  The cut is a
 quantile of the worths: as many of the sample fall below as are labelled bad.  The score maps worth to 0..1
 so that the cut has score ``CUT_SCORE``.
 """
@@ -26,6 +28,9 @@ MAX_LABELLED = 20_000
 PAIRS = 200_000
 STRETCH = 40
 CUT_SCORE = 0.3
+CHAR_BINS = WORD_BINS = 256
+#: Ridge of the counts, and of the hashed bins, which are many and say little each.
+RIDGE, BIN_RIDGE = 1e-3, 2e-2
 
 _KINDS = np.zeros((256, 8), bool)
 _KINDS[65:91, 0] = True  # capital letters
@@ -39,8 +44,34 @@ _KINDS[[ord(c) for c in ".,;:?'\"()-/"], 6] = True
 _KINDS[ord("\n"), 7] = True
 
 
+def binned(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of each text's character and word n-grams by bin; ``text`` and ``h`` are its words and their hashes."""
+    n = len(offsets) - 1
+    chars, words = np.zeros(n * CHAR_BINS), np.zeros(n * WORD_BINS)
+    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    raw = data.astype(np.uint32)
+    roll = raw
+    for k in range(2, 5):
+        if len(data) < k:
+            break
+        roll = roll[:-1] * np.uint32(0x01000193) ^ raw[k - 1 :]
+        at = (roll * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(CHAR_BINS)
+        inside = of[k - 1 :] == of[: len(roll)]
+        chars += np.bincount((of[: len(roll)].astype(np.int64) * CHAR_BINS + at)[inside], minlength=n * CHAR_BINS)
+    words += np.bincount(text * WORD_BINS + (h % np.uint64(WORD_BINS)).astype(np.int64), minlength=n * WORD_BINS)
+    if len(h) > 1:
+        pair = shingles.mix(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:])
+        inside = text[1:] == text[:-1]
+        words += np.bincount((text[1:] * WORD_BINS + (pair % np.uint64(WORD_BINS)).astype(np.int64))[inside], minlength=n * WORD_BINS)
+    parts = []
+    for counts, bins in ((chars, CHAR_BINS), (words, WORD_BINS)):
+        counts = counts.reshape(n, bins)
+        parts.append(np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))))
+    return np.concatenate(parts, axis=1)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of features per text; a text without words has a row of its own kind (zeros and a flag)."""
+    """One row of features per text (float32): the bins, then the counts; a text without words has a row of its own kind (zeros and a flag)."""
     n = len(offsets) - 1
     start, end, text, h = shingles.words(data, offsets)
     count = np.bincount(text, minlength=n).astype(float)
@@ -80,7 +111,47 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     else:
         cols += [np.zeros(n)] * 6
     x = np.stack([np.asarray(c, float) for c in cols], axis=1)
-    return np.concatenate([x, np.sqrt(np.abs(x[:, 2:9])), np.sqrt(x[:, 16:22])], axis=1)
+    return np.concatenate([binned(data, offsets, text, h), x, np.sqrt(np.abs(x[:, 2:9])), np.sqrt(x[:, 16:22])], axis=1).astype(np.float32)
+
+
+def pair_loss(w: np.ndarray, z: np.ndarray, i: np.ndarray, j: np.ndarray, ridge: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean logistic loss of the pairs "row i of z over row j" with half the ridge, and its gradient."""
+    worth = z @ w
+    lead = worth[i] - worth[j]
+    loss = float(np.logaddexp(0, -lead).mean() + 0.5 * (ridge * w * w).sum())
+    p = 1 / (1 + np.exp(np.clip(lead, -30, 30))) / len(i)
+    return loss, z.T @ (np.bincount(j, p, len(z)) - np.bincount(i, p, len(z))) + ridge * w
+
+
+def minimise(f, w: np.ndarray, rounds: int = 200, memory: int = 12, tolerance: float = 1e-6) -> np.ndarray:
+    """A minimum of the smooth convex ``f`` (value and gradient) by limited-memory quasi-Newton steps."""
+    value, grad = f(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        step, shares = -grad, []
+        for s, y in reversed(past):
+            a = (s @ step) / (s @ y)
+            step = step - a * y
+            shares.append(a)
+        if past:
+            s, y = past[-1]
+            step = step * ((s @ y) / (y @ y))
+        for (s, y), a in zip(past, reversed(shares), strict=True):
+            step = step + (a - (y @ step) / (s @ y)) * s
+        slope, size = grad @ step, 1.0 if past else 1.0 / max(1.0, float(np.abs(grad).sum()))
+        while True:
+            nxt = w + size * step
+            new_value, new_grad = f(nxt)
+            if new_value <= value + 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        s, y = nxt - w, new_grad - grad
+        if s @ y > 1e-12:
+            past = [*past[1 - memory :], (s, y)]
+        gain, w, value, grad = value - new_value, nxt, new_value, new_grad
+        if gain < tolerance * max(1e-3, abs(value)) * 1e-2:
+            break
+    return w
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> dict:
@@ -88,20 +159,14 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> dict
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return {"constant": float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))}
-    mean, sd = x.mean(axis=0), x.std(axis=0)
+    mean, sd = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
     sd[sd < 1e-9] = 1.0
     z = np.clip((x - mean) / sd, -8, 8)
     rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(x.shape[1])
-    for _ in range(40):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = d.T @ p / pairs - 1e-3 * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
-            break
+    i, j = rng.choice(good, pairs), rng.choice(bad, pairs)
+    bins = min(CHAR_BINS + WORD_BINS, max(0, x.shape[1] - 1))
+    ridge = np.where(np.arange(x.shape[1]) < bins, BIN_RIDGE, RIDGE)
+    w = minimise(lambda w: pair_loss(w, z, i, j, ridge), np.zeros(x.shape[1]))
     worth = z @ w
     low, high = np.sort(worth[bad]), np.sort(worth[good])
     share = len(bad) / len(y)
@@ -112,9 +177,10 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> dict
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
+    """Scores of rows of features; each row is summed alone, so equal rows have equal scores in any batch."""
     if "constant" in model:
         return np.full(len(x), model["constant"])
-    worth = np.clip((x - model["mean"]) / model["sd"], -8, 8) @ model["w"]
+    worth = (np.clip((x - model["mean"]) / model["sd"], -8, 8) * model["w"]).sum(axis=1)
     at = np.log(CUT_SCORE / (1 - CUT_SCORE))
     return 1 / (1 + np.exp(-np.clip(model["scale"] * (worth - model["cut"]) + at, -30, 30)))
 
@@ -122,6 +188,8 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """text and label of at most ``most`` training rows: labelled, not held out, the smallest hashes of doc_id first.
 
+    An id with several labels has the largest of them.
+
     At most ``most`` ids are broadcast, whatever the size of the tables.
     """
     train = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~support.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -139,14 +207,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
             data, off = shingles.text_bytes(batch.column(2))
             for a, b in shingles.slices(off):
                 x = features(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    rows = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(task, "doc_id bigint, label int, x array<double>").toArrow()
+    rows = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(task, "doc_id bigint, label int, x binary").toArrow()
     y = rows["label"].to_numpy()
     if not len(y):
         return fit(np.empty((0, 1)), y)
-    x = np.array(rows["x"].to_pylist(), float).reshape(len(y), -1)
-    order = np.lexsort((y, rows["doc_id"].to_numpy()))
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(y), -1)
+    # rows of one id and label stand in the order of their features, so that reruns agree
+    order = np.lexsort((x[:, 0], x[:, -1], y, rows["doc_id"].to_numpy()))
     return fit(x[order], y[order])
 
 
