@@ -38,7 +38,7 @@ TREES, DEPTH, NODE = 18, 4, 128
 #: Minwise tokens of a set: each level of each tree has its own.
 SIGNATURE = TREES * DEPTH
 #: Sets and shingles of a cluster that one task confirms.
-CLUSTER_SETS, CLUSTER_SHINGLES = 4096, 4_000_000
+CLUSTER_SETS, CLUSTER_SHINGLES = 256, 1_000_000
 #: Bits a row, and at most, of the filter that tells which documents' sets are needed again; beyond it they are joined.
 BLOOM_BITS_A_ROW, BLOOM_BITS = 16, 1 << 28
 
