@@ -6,6 +6,7 @@ import sqlite3
 
 import pytest
 
+from threadmill.functions import grammar as G
 from threadmill.plans.engine import Engine
 from threadmill.streaming import incremental as R
 from threadmill.sources import discovery, normalize, records, sqlite
@@ -128,7 +129,11 @@ def test_sync_and_queries(spark, tmp_path):
     assert e.search("tool_mutating:true").count() == 1
     ops = e.git_ops(cid).collect()
     assert len(ops) == 1 and ops[0]["commits"] == ["abc1234"] and ops[0]["status"] == "failed"
-    assert e.trajectory(commit="abc1234").first()["relevance"] == 3
+    told = e.trajectory(commit="abc1234").first()
+    assert (told["relevance"], told["origin"], told["title"], told["next_turn"], told["summary"]) == (2, False, "Reader fix", 2, "git commit -m x")
+    assert e.trajectory("ABC1234ffff").first()["conversation_id"] == cid and f"{cid} --around 2" in told["inspect"]
+    with pytest.raises(G.QueryError):
+        e.trajectory()
     assert e.turns(f"{cid}#e2").first()["text"] == "next"
     assert e.ask(f"{cid}#e2").count() == 1 and e.ask("reader").first()["match_count"] == 1
     assert e.document_count() == 9 and e.notifications().count() == 1

@@ -10,8 +10,8 @@ INJECTED_PREFIXES = (
     "<environment_context>", "<permissions instructions>", "<collaboration_mode>", "<apps_instructions>", "<skills_instructions>", "<plugins_instructions>", "<turn_aborted>",
     "<system-reminder>", "<local-command-caveat>", "<local-command-stdout>", "<command-name>", "<user_instructions>", "<environment_details>", "# AGENTS.md instructions for ",
 )
-# System speakers whose turns are shown.
-VISIBLE_SPEAKERS = ("error", "tool_rejected", "turn_aborted", "task_notification", "scheduled_prompt")
+# System speakers whose turns are shown; the first is the engine itself.
+VISIBLE_SPEAKERS = ("threadmill", "error", "tool_rejected", "turn_aborted", "task_notification", "scheduled_prompt")
 TOKEN_KINDS = ("input", "output", "cache_creation", "cache_read", "reasoning", "estimated")
 SPACE = r"\s"
 
@@ -117,9 +117,10 @@ def normalized_project(project: Column, cwd: Column) -> Column:
 
 
 def normalize_role(role: Column) -> Column:
+    """The role's common name; a role without one stays, lower-cased (``records.known_role`` shows it as an event)."""
     r = F.lower(F.trim(role))
     known = F.when(r.isin("human", "user"), "user").when(r.isin("ai", "model", "assistant"), "assistant").when(r.isin("developer", "system"), "system")
-    return known.when(r.isin("function", "tool"), "tool").when(r == "event", "event").otherwise(F.lit("system"))
+    return known.when(r.isin("function", "tool"), "tool").otherwise(r)
 
 
 def label(ts_ms: Column, period: str, zone: str = "UTC") -> Column:

@@ -53,51 +53,62 @@ def tokens(query: str) -> list[tuple[str, bool]]:
     return out
 
 
+def _dashed(value: str) -> str:
+    return re.sub("[-_]{1,2}", "-", value.lower())
+
+
+def _short_commit(value: str) -> str:
+    return re.sub(r"^([0-9a-f]{7})[0-9a-f]+$", r"\1", value.lower())
+
+
+#: How a facet's value is written in the tables, by key; a key that isn't here keeps its value.
+_WRITTEN = (
+    {"git_commit": _short_commit}
+    | dict.fromkeys(("tool", "tool_cmd", "skill", "mcp"), str.lower)
+    | dict.fromkeys(("tool_status", "content", "is", "origin", "provider", "agent", "role", "subagent", "tool_type", "tool_location", "tool_mutability", "tool_privilege"), _dashed)
+)
+_PATTERN = re.compile(r"/(.+)(?<!\\)/", re.S)
+_KEYED = re.compile(r"([^:]+):(.*\S.*)", re.S)
+
+
 def facet_value(key: str, value: str) -> str:
+    """The value as the tables hold it; a /pattern/ stays, and one leading @ goes."""
     value = value.strip()
-    if value.startswith("/") and value.endswith("/") and len(value) > 2:
-        return value
-    value = value.removeprefix("@")
-    if key == "git_commit":
-        value = value.lower()
-        return value[:7] if re.fullmatch(r"[0-9a-f]{8,}", value) else value
-    if key in ("tool", "tool_cmd", "skill", "mcp"):
-        return value.lower()
-    if key in ("tool_status", "content", "is", "origin", "provider", "agent", "role") or key in DOCUMENTED_KEYS[1:]:
-        return value.lower().replace("_", "-").replace("--", "-")
-    return value
+    is_pattern = len(value) > 2 and value[0] == value[-1] == "/"
+    return value if is_pattern else _WRITTEN.get(key, str)(value.removeprefix("@"))
+
+
+def _compiled(text: str, pattern: str) -> str:
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        raise QueryError(f"invalid pattern {text}: {e}") from e
+    return pattern.replace("\\/", "/")
+
+
+def _bare(text: str) -> str:
+    """A term without outer punctuation, lower-cased."""
+    return re.sub(r"^[^\w*?/.\-]+|[^\w*?/.\-]+$", "", text).lower()
 
 
 def parse_query(query: str) -> ParsedQuery:
     """Quoted text is a phrase and never a facet; key:value is a facet where the key is known and the value isn't empty;
     /pattern/ is a regular expression; the rest are terms, lower-cased, without outer punctuation, of two characters at least.
     """
-    out = ParsedQuery()
-    for text, quoted in tokens(query):
-        if quoted:
-            if text.strip():
-                out.phrases.append(text.strip().lower())
-            continue
-        if len(text) > 2 and text.startswith("/") and text.endswith("/") and not text.endswith("\\/"):
-            try:
-                re.compile(text[1:-1])
-            except re.error as e:
-                raise QueryError(f"invalid pattern {text}: {e}") from e
-            out.regexes.append(text[1:-1].replace("\\/", "/"))
-            continue
-        key, colon, value = text.partition(":")
-        key = key.strip().lower().replace("-", "_")
-        if colon and value.strip():
-            if key in DATE_KEYS:
-                out.dates.append((key, value.strip()))
-                continue
-            if key in FACET_KEYS or key in DOCUMENTED_KEYS:
-                out.facets.append((key, facet_value(key, value)))
-                continue
-        term = re.sub(r"^[^\w*?/.\-]+|[^\w*?/.\-]+$", "", text).lower()
-        if len(term) >= 2:
-            out.terms.append(term)
-    return out
+    parts = tokens(query)
+    words = [t for t, quoted in parts if not quoted]
+    patterns = {w: m[1] for w in words if (m := _PATTERN.fullmatch(w))}
+    keyed = {w: (m[1].strip().lower().replace("-", "_"), m[2].strip()) for w in words if w not in patterns and (m := _KEYED.fullmatch(w))}
+    dates = {w: kv for w, kv in keyed.items() if kv[0] in DATE_KEYS}
+    facets = {w: (k, facet_value(k, v)) for w, (k, v) in keyed.items() if k in FACET_KEYS + DOCUMENTED_KEYS}
+    terms = [_bare(w) for w in words if not (w in patterns or w in dates or w in facets)]
+    return ParsedQuery(
+        terms=[t for t in terms if len(t) > 1],
+        phrases=[t.strip().lower() for t, quoted in parts if quoted and t.strip()],
+        facets=[facets[w] for w in words if w in facets],
+        dates=[dates[w] for w in words if w in dates],
+        regexes=[_compiled(w, patterns[w]) for w in words if w in patterns],
+    )
 
 
 def glob_pattern(value: str) -> str | None:

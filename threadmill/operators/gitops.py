@@ -115,16 +115,17 @@ def filter_ops(ops: DataFrame, pr: int | None = None, branch: str | None = None,
 
 
 def ordered_union(parts: list[DataFrame], order: list[Column], limit: int, key: str = "conversation_id") -> DataFrame:
-    """Distinct keys in the order of parts and, within a part, of ``order``; the first ``limit``.
+    """Distinct keys in the order of parts and, within a part, of ``order``; the first ``limit``, with the turn_index of the row that placed them.
 
     Only each key's first row of a part is ranked, and a part gives ``limit`` keys at most.
     """
     out = None
     for i, p in enumerate(parts):
         first = p.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").orderBy(*order).limit(limit)
-        ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, F.lit(i).alias("priority"), "rank")
+        ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, F.lit(i).alias("priority"), "rank", F.col("turn_index").alias("turn"))
         out = ranked if out is None else out.unionByName(ranked)
-    best = out.groupBy(key).agg(F.min(F.struct("priority", "rank")).alias("place"))
+    place = F.struct("priority", "rank")
+    best = out.groupBy(key).agg(F.min(place).alias("place"), F.min_by("turn", place).alias("turn"))
     return best.orderBy("place").limit(limit)
 
 
@@ -135,8 +136,13 @@ def by_relevance(found: DataFrame, limit: int) -> DataFrame:
     return kept.orderBy(F.desc("relevance"), F.asc_nulls_first("first_seen"), "conversation_id").limit(limit)
 
 
-def trajectory(candidates: DataFrame, ops: DataFrame, pr: int | None = None, branch: str | None = None, commit: str | None = None, limit: int = 8) -> DataFrame:
-    """Candidate conversations tiered by their git evidence."""
+def trajectory(candidates: DataFrame, ops: DataFrame, conversations: DataFrame, pr: int | None = None, branch: str | None = None, commit: str | None = None, limit: int = 8) -> DataFrame:
+    """Candidate conversations (conversation_id, turn: where their text matched best) by their git evidence, as told forward in time.
+
+    conversation_id, title, relevance, origin (it created the pull request), first_seen (its start), matching_ops, next_turn (of the first
+    matching operation, else of the text), inspect (what shows that place) and summary (that operation's command).
+    A branch or commit gives no origin.  Candidates without a conversation are left out.
+    """
     match = F.lit(False)
     if pr is not None:
         match = match | touches_pr(pr)
@@ -144,13 +150,17 @@ def trajectory(candidates: DataFrame, ops: DataFrame, pr: int | None = None, bra
         match = match | F.array_contains("branches", branch)
     if commit is not None:
         match = match | F.array_contains("commits", shell.short_sha(commit))
-    origin = F.lit(False) if pr is None else F.coalesce(F.col("created_pr") == pr, F.lit(False))
-    if commit is not None:
-        origin = origin | (F.array_contains("commits", shell.short_sha(commit)) & F.array_contains("facets", "git_cmd:commit"))
-    mine = ops.join(candidates.select("conversation_id"), "conversation_id", "left_semi")
-    g = mine.groupBy("conversation_id").agg(
-        F.max(F.when(origin, 3).when(match, 2).otherwise(1)).alias("relevance"), F.coalesce(F.min(F.when(match, F.col("ts_ms"))), F.min("ts_ms")).alias("first_seen"), F.max("ts_ms").alias("last_seen"),
-        F.count_if(match).alias("matching_ops"), F.array_sort(F.flatten(F.collect_set("pr_numbers"))).alias("pr_numbers"),
+    created = F.lit(False) if pr is None else F.coalesce(F.col("created_pr") == pr, F.lit(False))
+    mine = ops.join(candidates.select("conversation_id"), "conversation_id", "left_semi").withColumn("__hit", F.coalesce(match, F.lit(False)))
+    first = F.min(F.when(F.col("__hit"), F.struct("turn_index", "command"))).alias("first")
+    g = mine.groupBy("conversation_id").agg(F.bool_or(created).alias("origin"), F.count_if("__hit").alias("matching_ops"), first)
+    found = candidates.select("conversation_id", "turn").join(conversations.select("conversation_id", "title", "started_at"), "conversation_id").join(g, "conversation_id", "left")
+    n = F.coalesce("matching_ops", F.lit(0)).cast("bigint")
+    relevance = F.when(F.col("origin"), 3).when(n > 0, 2).when(F.col("matching_ops").isNotNull(), 1).otherwise(0)
+    next_turn = F.coalesce("first.turn_index", "turn", F.lit(0)).cast("bigint")
+    inspect = F.concat(F.lit("turns "), F.col("conversation_id"), F.lit(" --around "), next_turn.cast("string"), F.lit(" --limit 40"))
+    found = found.select(
+        "conversation_id", F.coalesce("title", F.lit("")).alias("title"), relevance.alias("relevance"), F.coalesce("origin", F.lit(False)).alias("origin"), F.col("started_at").alias("first_seen"),
+        n.alias("matching_ops"), next_turn.alias("next_turn"), inspect.alias("inspect"), F.coalesce("first.command", F.lit("")).alias("summary"),
     )
-    found = candidates.join(g, "conversation_id", "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
     return by_relevance(found, limit)

@@ -57,10 +57,10 @@ def facet_predicate(key: str, value: str, exact: bool = False) -> Column:
     return _matches(F.col("facets"), "facets", f"{key}:{value}", True, True)
 
 
-def predicate(q: G.ParsedQuery, now_ms: int, zone: str = "UTC", exact: bool = False, scope: str = "corpus") -> Column:
-    """All clauses of a query, AND-ed. Corpus scope adds visible turns of real work, unless the query names an origin."""
+def predicate(q: G.ParsedQuery, now_ms: int, zone: str = "UTC", exact: bool = False, scope: str = "corpus", with_needles: bool = True) -> Column:
+    """All clauses of a query, AND-ed (without its needles where an index has found them). Corpus scope adds visible turns of real work, unless the query names an origin."""
     low, high = G.date_range(q.dates, now_ms, zone)
-    parts: list[Column] = [needle_count(w) > 0 for w in needles(q)]
+    parts: list[Column] = [needle_count(w) > 0 if with_needles else F.lit(True) for w in needles(q)]
     parts += [facet_predicate(k, v, exact) for k, v in q.facets]
     parts += [F.col("text").rlike(r) for r in q.regexes]
     if low is not None:
@@ -83,10 +83,47 @@ def corpus_statistics(docs: DataFrame, words: list[list[str]]) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens")).alias("average"), *[F.count_if(needle_count(w) > 0).cast("double").alias(f"df{i}") for i, w in enumerate(words)])
 
 
-def scored(docs: DataFrame, q: G.ParsedQuery, now_ms: int, zone: str = "UTC", exact: bool = False, scope: str = "corpus") -> DataFrame:
-    """Matching documents with their BM25 score."""
+def postings(docs: DataFrame) -> DataFrame:
+    """The inverted index: term, conversation_id, turn_index, tf and positions of every term of every document (tokens)."""
+    t = docs.select("conversation_id", "turn_index", F.posexplode("tokens").alias("position", "term"))
+    return t.groupBy("term", "conversation_id", "turn_index").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+
+
+def _needle_hits(index: DataFrame, words: list[str], into: str) -> DataFrame:
+    """conversation_id, turn_index and how often the words stand there in order and side by side, from the words' postings alone."""
+    doc = ["conversation_id", "turn_index"]
+    hits = index.where(F.col("term") == words[0]).select(*doc, F.col("positions").alias("at"), F.col("tf").cast("bigint").alias(into))
+    if len(words) == 1:
+        return hits.drop("at")
+    for k, w in enumerate(words[1:], 1):
+        # each word narrows the starts that are left
+        after = index.where(F.col("term") == w).select(*doc, F.transform("positions", lambda p: p - k).alias("next"))  # noqa: B023
+        hits = hits.join(after, doc).withColumn("at", F.array_intersect("at", "next")).where(F.size("at") > 0).drop("next")
+    return hits.select(*doc, F.size("at").cast("bigint").alias(into))
+
+
+def _scored_by_index(docs: DataFrame, index: DataFrame, q: G.ParsedQuery, condition: Column, words: list[list[str]]) -> DataFrame:
+    """As ``scored``: the terms' postings give matches and document counts, and lengths (one number column) the averages; no text is analyzed."""
+    doc = ["conversation_id", "turn_index"]
+    found = [_needle_hits(index, w, f"tf{i}") for i, w in enumerate(words)]
+    size = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("average"))
+    fact = size.select(F.struct("n", "average").alias("s")).scalar()
+    counts = [f.agg(F.count(F.lit(1)).cast("double")).scalar() for f in found]
+    hits = reduce(lambda a, b: a.join(b, doc), found)
+    score = reduce(lambda a, b: a + b, [X.bm25_part(F.col(f"tf{i}").cast("double"), F.col("length"), fact["average"], X.idf(fact["n"], counts[i])) for i in range(len(words))])
+    return docs.where(condition).join(hits, doc).withColumn("score", score).drop(*[f"tf{i}" for i in range(len(words))])
+
+
+def scored(docs: DataFrame, q: G.ParsedQuery, now_ms: int, zone: str = "UTC", exact: bool = False, scope: str = "corpus", index: DataFrame | None = None, only: list[Column] = ()) -> DataFrame:
+    """Matching documents with their BM25 score; ``index`` are the documents' postings, ``only`` further conditions on what is found.
+
+    Statistics are those of all ``docs``.
+    """
     words = needles(q)
-    hits = docs.where(predicate(q, now_ms, zone, exact, scope))
+    more = reduce(lambda a, b: a & b, only, F.lit(True))
+    if words and index is not None:
+        return _scored_by_index(docs, index, q, predicate(q, now_ms, zone, exact, scope, with_needles=False) & more, words)
+    hits = docs.where(predicate(q, now_ms, zone, exact, scope) & more)
     if not words:
         return hits.withColumn("score", F.lit(0.0))
     stats = corpus_statistics(docs, words)
@@ -95,21 +132,24 @@ def scored(docs: DataFrame, q: G.ParsedQuery, now_ms: int, zone: str = "UTC", ex
     return hits.withColumn("score", score)
 
 
-def search(docs: DataFrame, conversations: DataFrame, query: str, now_ms: int, limit: int = 20, sort: str = "relevance", zone: str = "UTC", candidates: int | None = None, half_life_days: float = X.HALF_LIFE_DAYS, exact: bool = False) -> DataFrame:
+def search(docs: DataFrame, conversations: DataFrame, query: str, now_ms: int, limit: int = 20, sort: str = "relevance", zone: str = "UTC", candidates: int | None = None, half_life_days: float = X.HALF_LIFE_DAYS, exact: bool = False, index: DataFrame | None = None, only: list[Column] = ()) -> DataFrame:
     """Conversations with matching turns: match_count, score, last_ts and the best turn, best first or newest first.
 
     ``candidates`` bounds the turns looked at, best first (the counts are then of those); by default all are.
+    With ``index`` the texts of the results alone are read.
     """
-    hits = scored(docs, G.parse_query(query), now_ms, zone, exact)
+    hits = scored(docs, G.parse_query(query), now_ms, zone, exact, index=index, only=only)
     if candidates:
         hits = hits.orderBy(F.desc("score"), "conversation_id", "turn_index").limit(candidates)
     best = F.struct("score", (-F.col("turn_index")).alias("at"))
-    g = hits.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("match_count"), F.max("score").alias("best_score"), F.max("ts_ms").alias("last_ts"), F.max_by("turn_index", best).alias("turn_index"), F.max_by("exchange_ordinal", best).alias("exchange_ordinal"), F.max_by("text", best).alias("best_text"))
+    g = hits.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("match_count"), F.max("score").alias("best_score"), F.max("ts_ms").alias("last_ts"), F.max_by("turn_index", best).alias("turn_index"), F.max_by("exchange_ordinal", best).alias("exchange_ordinal"))
     g = g.withColumn("score", X.recency(F.col("best_score"), F.col("last_ts"), now_ms, half_life_days))
     order = [F.desc("score"), F.col("conversation_id")] if sort == "relevance" else [F.desc_nulls_last("last_ts"), F.col("conversation_id")]
-    page = g.orderBy(*order).limit(limit)
+    page = F.broadcast(g.orderBy(*order).limit(limit))  # a page of results
     named = page.join(conversations.select("conversation_id", "title"), "conversation_id", "left")
-    return named.withColumn("excerpt", X.excerpt(F.col("best_text"), G.parse_query(query).highlights)).drop("best_text")
+    texts = docs.select("conversation_id", "turn_index", F.col("text").alias("best_text"))
+    named = texts.join(F.broadcast(named), ["conversation_id", "turn_index"])
+    return named.withColumn("excerpt", X.excerpt(F.col("best_text"), G.parse_query(query).highlights)).drop("best_text").orderBy(*order)
 
 
 def find_strict(docs: DataFrame, conversation_id: str, query: str, now_ms: int, limit: int = 20) -> DataFrame:

@@ -135,10 +135,11 @@ def file_references(spark, d):
     return gitops.file_refs(t.drop("path").withColumnRenamed("path_arg", "path")).select("turn_index", "path", "mode")
 
 
-@register("trajectory_commit", f"SELECT 'rg_' || substr(sha256('{CLAUDE}'), 1, 24) AS conversation_id, CAST(3 AS INT) AS relevance, CAST(1 AS BIGINT) AS matching_ops")
+@register("trajectory_commit", f"SELECT 'rg_' || substr(sha256('{CLAUDE}'), 1, 24) AS conversation_id, 'Reader' AS title, CAST(2 AS INT) AS relevance, false AS origin, CAST(1 AS BIGINT) AS matching_ops, CAST(2 AS BIGINT) AS next_turn, 'git commit -m x' AS summary, epoch_ms(TIMESTAMP '2026-07-01 10:00:00') AS first_seen")
 def trajectory_commit(spark, d):
-    _, t = _tables(spark, CLAUDE, CODEX)
-    return gitops.trajectory(t.select("conversation_id").distinct(), gitops.timeline(t), commit="abc1234ff").select("conversation_id", "relevance", "matching_ops")
+    notes, t = _tables(spark, CLAUDE, CODEX)
+    found = t.select("conversation_id").distinct().withColumn("turn", F.lit(0).cast("bigint"))
+    return gitops.trajectory(found, gitops.timeline(t), normalize.conversations(notes, t), commit="abc1234ff").drop("inspect")
 
 
 @register("malformed_lines", f"SELECT '{CLAUDE}' AS path, CAST(5 AS BIGINT) AS line")

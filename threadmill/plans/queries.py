@@ -203,7 +203,7 @@ for _name, _query, _cond in (
     ("search_facet_regex", "tool_cmd:/e./", f"len(list_filter(facets, lambda f: regexp_matches(lower(f), '^tool_cmd:(?:e.)$'))) > 0 AND {_SCOPE}"),
     ("search_regex", r"/[Tt]he\s+[a-z]+ing\b/", rf"regexp_matches(text, '[Tt]he\s+[a-z]+ing\b') AND {_SCOPE}"),
     ("search_ts_range", "since:2024-01-01 before:2024-01-02 role:user", f"ts_ms >= {V.BASE_MS} AND ts_ms < {V.BASE_MS + G.DAY_MS} AND role = 'user' AND {_SCOPE}"),
-    ("search_default_scope", "role:system", f"role = 'system' AND {_SCOPE}"),
+    ("search_default_scope", "role:assistant", f"role = 'assistant' AND {_SCOPE}"),
     ("search_named_origin", "origin:auxiliary the", f"origin = 'auxiliary' AND {_has('the')} AND visible"),
     ("search_subagent_sugar", "subagent:false cwd:/u/de", f"origin <> 'subagent' AND contains(lower(cwd), '/u/de') AND {_SCOPE}"),
 ):
@@ -236,13 +236,13 @@ def search_sort_recent(spark, d):
     return search.search(V.search_docs(spark, d), V.conversations(spark, d), "the and", NOW, sort="recent").select("conversation_id", "match_count", "last_ts")
 
 
-_CONV = "'rg_' || substr(sha256('conv/1'), 1, 24)"
+_CONV = "'rg_' || substr(sha256('conv/6'), 1, 24)"
 
 
 def _conv() -> str:
     import hashlib
 
-    return "rg_" + hashlib.sha256(b"conv/1").hexdigest()[:24]
+    return "rg_" + hashlib.sha256(b"conv/6").hexdigest()[:24]
 
 
 @register("find_strict", f"WITH {V.DOCS_SQL} SELECT conversation_id, turn_index, count(*) OVER () AS total_turn_hits FROM docs WHERE conversation_id = {_CONV} AND {_has('the')} ORDER BY turn_index LIMIT 20")
@@ -378,7 +378,7 @@ def project_normalization(spark, d):
     return t.select("id", C.normalized_project(F.col("project"), F.col("cwd")).alias("slug"))
 
 
-@register("role_normalization", "SELECT DISTINCT role, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'tool' THEN 'tool' ELSE 'system' END AS normalized FROM conversations")
+@register("role_normalization", "SELECT DISTINCT role, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'tool' THEN 'tool' WHEN 'developer' THEN 'system' ELSE lower(trim(role)) END AS normalized FROM conversations")
 def role_normalization(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("role", C.normalize_role(F.col("role")).alias("normalized")).distinct()
 
@@ -391,14 +391,13 @@ def removed_files_anti(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").where("doc_id is not null"), "doc_id", "left_anti").select("doc_id")
 
 
-@register("changed_files_full_outer", "WITH a AS (SELECT doc_id AS id, n_chars AS size FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE doc_id % 4 <> 0) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS state FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.size <> b.size")
+@register("changed_files_full_outer", "WITH a AS (SELECT doc_id AS id, n_chars % 2 AS size FROM documents), b AS (SELECT doc_id AS id, quality AS size FROM labels) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS state FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.size IS DISTINCT FROM b.size")
 def changed_files_full_outer(spark, d):
     from threadmill.streaming.incremental import diff_files
 
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    none = F.lit(1).cast("bigint")
-    known = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), none.alias("mtime_ns"), F.lit(1).alias("version"))
-    found = docs.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), none.alias("mtime_ns"), F.lit(1).alias("version"))
+    same = [F.lit(1).cast("bigint").alias("mtime_ns"), F.lit(1).alias("version")]
+    known = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), (F.col("n_chars") % 2).alias("size"), *same)
+    found = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("path"), F.col("quality").cast("bigint").alias("size"), *same)
     return diff_files(known, found).select(F.col("path").alias("id"), "state")
 
 
@@ -410,15 +409,30 @@ def candidate_union_priority(spark, d):
     return gitops.ordered_union([en, the], [F.desc("ts_ms"), F.col("conversation_id"), F.col("turn_index")], 40).select("conversation_id")
 
 
-_OPS = [("c1", 3, 100, "created"), ("c1", 5, 110, "matching"), ("c2", 1, None, "any"), ("c3", 2, 90, "matching"), ("c4", 0, 80, "text"), ("c5", 7, 70, "created")]
+# (conversation, turn, created pull request, pull requests, branches, commits, command) and (conversation, start, title, turn of its best text)
+_OPS = [("c1", 3, 48, "48", "", "", "gh pr create"), ("c1", 5, None, "48", "", "", "gh pr view 48"), ("c2", 1, None, "", "main", "", "git pull"), ("c3", 2, None, "", "", "abc1234", "git commit"), ("c3", 4, None, "48", "", "", "gh pr merge 48"), ("c5", 7, None, "7", "x/48", "", "git push"), ("c6", 0, 48, "48", "", "", "gh pr create -f")]
+_FOUND = [("c1", 100, "one", 9), ("c2", 50, "two", 8), ("c3", 90, "three", 7), ("c4", 10, "four", 6), ("c5", None, "five", 5), ("c6", None, "six", 4)]
+_TIERED = f"""WITH op AS (SELECT c, i, created, list_contains(string_split(prs, ','), $PR) AS is_pr, list_contains(string_split(branches, ','), $BRANCH) AS is_branch, list_contains(string_split(commits, ','), $COMMIT) AS is_commit, command FROM {_values(_OPS, 'c, i, created, prs, branches, commits, command')}),
+g AS (SELECT c, CASE WHEN bool_or(coalesce(created = $CREATED, false)) THEN 3 WHEN bool_or(is_pr OR is_branch OR is_commit) THEN 2 ELSE 1 END AS tier, count(*) FILTER (is_pr OR is_branch OR is_commit) AS n, min(i) FILTER (is_pr OR is_branch OR is_commit) AS at, min_by(command, i) FILTER (is_pr OR is_branch OR is_commit) AS summary FROM op GROUP BY 1),
+e AS (SELECT f.c AS conversation_id, title, CAST(coalesce(tier, 0) AS INT) AS relevance, coalesce(tier = 3, false) AS origin, CAST(f.started AS BIGINT) AS first_seen, coalesce(n, 0) AS matching_ops, CAST(coalesce(at, f.turn) AS BIGINT) AS next_turn, coalesce(summary, '') AS summary
+      FROM {_values(_FOUND, 'c, started, title, turn')} f LEFT JOIN g ON f.c = g.c)
+SELECT * FROM e WHERE relevance >= 2 OR (SELECT max(relevance) FROM e) < 2 ORDER BY relevance DESC, first_seen NULLS FIRST, conversation_id LIMIT 8"""
 
 
-@register("relevance_tiering", f"WITH t AS (SELECT *, CASE kind WHEN 'created' THEN 3 WHEN 'matching' THEN 2 WHEN 'any' THEN 1 ELSE 0 END AS tier FROM {_values(_OPS, 'c, i, ts, kind')}), g AS (SELECT c AS conversation_id, max(tier) AS relevance, min(ts) AS first_seen FROM t GROUP BY 1) SELECT conversation_id, CAST(relevance AS BIGINT) AS relevance, CAST(first_seen AS BIGINT) AS first_seen FROM g WHERE relevance >= 2 ORDER BY 2 DESC, 3 NULLS FIRST LIMIT 8")
-def relevance_tiering(spark, d):
-    t = _rows(spark, _OPS, "conversation_id string, turn_index bigint, ts_ms bigint, kind string")
-    tier = F.when(F.col("kind") == "created", 3).when(F.col("kind") == "matching", 2).when(F.col("kind") == "any", 1).otherwise(0).cast("bigint")
-    g = t.groupBy("conversation_id").agg(F.max(tier).alias("relevance"), F.min("ts_ms").alias("first_seen"))
-    return gitops.by_relevance(g, 8)
+def _tiered(**asked):
+    def run(spark, d):
+        listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+        ops = _rows(spark, _OPS, "conversation_id string, turn_index bigint, created_pr bigint, prs string, branches string, commits string, command string")
+        ops = ops.select("conversation_id", "turn_index", "created_pr", listed("prs").cast("array<bigint>").alias("pr_numbers"), listed("branches").alias("branches"), listed("commits").alias("commits"), "command", F.lit("").alias("output_head"))
+        found = _rows(spark, _FOUND, "conversation_id string, started_at bigint, title string, turn bigint")
+        return gitops.trajectory(found.select("conversation_id", "turn"), ops, found.drop("turn"), **asked).drop("inspect")
+
+    return run
+
+
+for _name, _asked in (("relevance_tiering", {"pr": 48}), ("trajectory_branch", {"branch": "x/48"}), ("trajectory_by_commit", {"commit": "ABC1234ff"}), ("trajectory_weak", {"branch": "none"})):
+    _sql = _TIERED.replace("$PR", f"'{_asked.get('pr', '-')}'").replace("$CREATED", str(_asked.get("pr", -1))).replace("$BRANCH", f"'{_asked.get('branch', '-')}'").replace("$COMMIT", f"'{_asked.get('commit', '-').lower()[:7]}'")
+    register(_name, _sql)(_tiered(**_asked))
 
 
 @register("provider_file_inventory", "SELECT lang AS kind, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1")

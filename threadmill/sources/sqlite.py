@@ -6,6 +6,7 @@ of the input names one database; a task streams its sessions, so memory holds on
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import sqlite3
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from threadmill.sources.discovery import LINES_SCHEMA, _batch
 
-FINGERPRINTS_SCHEMA = "path string, session_id string, fingerprint string"
+FINGERPRINTS_SCHEMA = "path string, kind string, session_id string, fingerprint string"
 
 
 def _connect(path: str) -> sqlite3.Connection:
@@ -45,6 +46,12 @@ def safe_name(session: str) -> str:
     return re.sub(r"[^A-Za-z0-9._-]", "_", session)
 
 
+def virtual_path(database: str, kind: str, session: str) -> str:
+    """The path of a session's virtual file: sessions of two databases, or names that differ in odd characters only, stay apart."""
+    mark = hashlib.sha256(f"{database}\0{session}".encode()).hexdigest()[:12]
+    return f"/spool/{kind}/{safe_name(session)}-{mark}.jsonl"
+
+
 def hermes_sessions(db: sqlite3.Connection) -> Iterator[tuple[str, str, list[dict]]]:
     """(session, fingerprint, records) of sessions that aren't archived, with their active messages."""
     live = _filter(db, "sessions", "archived", "coalesce(archived, 0) = 0")
@@ -77,8 +84,8 @@ def opencode_sessions(db: sqlite3.Connection) -> Iterator[tuple[str, str, list[d
 READERS = {"hermes": hermes_sessions, "opencode": opencode_sessions}
 
 
-def read_sessions(spark: SparkSession, databases: list[tuple[str, str]]) -> DataFrame:
-    """Lines (as of ``read_lines``) of every session of (path, kind) databases."""
+def read_sessions(spark: SparkSession, databases: list[tuple[str, str]], wanted: DataFrame | None = None) -> DataFrame:
+    """Lines (as of ``read_lines``) of the sessions of (path, kind) databases; of those alone whose virtual path ``wanted`` (path) names."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,25 +95,26 @@ def read_sessions(spark: SparkSession, databases: list[tuple[str, str]]) -> Data
                         rows, at = [], 0
                         for n, r in enumerate(records, 1):
                             raw = json.dumps(r, ensure_ascii=False)
-                            rows.append((f"/spool/{kind}/{safe_name(session)}.jsonl", kind, n, at, at + len(raw.encode()) + 1, raw, False))
+                            rows.append((virtual_path(path, kind, session), kind, n, at, at + len(raw.encode()) + 1, raw, False))
                             at = rows[-1][4]
                         yield _batch(rows)
 
-    return spark.createDataFrame(databases, "path string, kind string").repartition(max(1, len(databases))).mapInArrow(task, LINES_SCHEMA)
+    lines = spark.createDataFrame(databases, "path string, kind string").repartition(max(1, len(databases))).mapInArrow(task, LINES_SCHEMA)
+    return lines if wanted is None else lines.join(wanted.select("path"), "path", "left_semi")
 
 
 def fingerprints(spark: SparkSession, databases: list[tuple[str, str]]) -> DataFrame:
-    """path, session_id, fingerprint of each session: what tells a changed session from a known one."""
+    """path (virtual), kind, session_id, fingerprint of each session: what tells a changed session from a known one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with closing(_connect(path)) as db:
-                    rows = [(path, s, mark) for s, mark, _ in READERS[kind](db)]
+                    rows = [(virtual_path(path, kind, s), kind, s, mark) for s, mark, _ in READERS[kind](db)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "session_id", "fingerprint"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "kind", "session_id", "fingerprint"])
 
-    return spark.createDataFrame(databases, "path string, kind string").mapInArrow(task, FINGERPRINTS_SCHEMA)
+    return spark.createDataFrame(databases, "path string, kind string").repartition(max(1, len(databases))).mapInArrow(task, FINGERPRINTS_SCHEMA)
 
 
 def changed_sessions(known: DataFrame, found: DataFrame) -> DataFrame:
