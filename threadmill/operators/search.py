@@ -8,6 +8,7 @@ that column, the filtered metadata, and the text of its results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -132,11 +133,11 @@ def scored(docs: DataFrame, q: G.ParsedQuery, now_ms: int, zone: str = "UTC", ex
     return hits.withColumn("score", score)
 
 
-def search(docs: DataFrame, conversations: DataFrame, query: str, now_ms: int, limit: int = 20, sort: str = "relevance", zone: str = "UTC", candidates: int | None = None, half_life_days: float = X.HALF_LIFE_DAYS, exact: bool = False, index: DataFrame | None = None, only: list[Column] = ()) -> DataFrame:
+def search(docs: DataFrame, conversations: DataFrame, query: str, now_ms: int, limit: int = 20, sort: str = "relevance", zone: str = "UTC", candidates: int | None = None, half_life_days: float = X.HALF_LIFE_DAYS, exact: bool = False, index: DataFrame | None = None, only: list[Column] = (), texts: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
     """Conversations with matching turns: match_count, score, last_ts and the best turn, best first or newest first.
 
     ``candidates`` bounds the turns looked at, best first (the counts are then of those); by default all are.
-    With ``index`` the texts of the results alone are read.
+    With ``texts`` (documents of given conversations) the page, ``limit`` rows, is computed first and only its conversations' texts are read.
     """
     hits = scored(docs, G.parse_query(query), now_ms, zone, exact, index=index, only=only)
     if candidates:
@@ -145,10 +146,15 @@ def search(docs: DataFrame, conversations: DataFrame, query: str, now_ms: int, l
     g = hits.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("match_count"), F.max("score").alias("best_score"), F.max("ts_ms").alias("last_ts"), F.max_by("turn_index", best).alias("turn_index"), F.max_by("exchange_ordinal", best).alias("exchange_ordinal"))
     g = g.withColumn("score", X.recency(F.col("best_score"), F.col("last_ts"), now_ms, half_life_days))
     order = [F.desc("score"), F.col("conversation_id")] if sort == "relevance" else [F.desc_nulls_last("last_ts"), F.col("conversation_id")]
-    page = F.broadcast(g.orderBy(*order).limit(limit))  # a page of results
+    page = g.orderBy(*order).limit(limit)
+    if texts is not None:
+        rows = page.collect()
+        page = docs.sparkSession.createDataFrame(rows, page.schema)
+        docs = texts([r["conversation_id"] for r in rows]) if rows else docs.limit(0)
+        conversations = conversations.where(F.col("conversation_id").isin(*[r["conversation_id"] for r in rows]))
     named = page.join(conversations.select("conversation_id", "title"), "conversation_id", "left")
-    texts = docs.select("conversation_id", "turn_index", F.col("text").alias("best_text"))
-    named = texts.join(F.broadcast(named), ["conversation_id", "turn_index"])
+    found = docs.select("conversation_id", "turn_index", F.col("text").alias("best_text"))
+    named = found.join(F.broadcast(named), ["conversation_id", "turn_index"])
     return named.withColumn("excerpt", X.excerpt(F.col("best_text"), G.parse_query(query).highlights)).drop("best_text").orderBy(*order)
 
 

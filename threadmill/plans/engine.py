@@ -79,6 +79,8 @@ class Engine:
         known = self.tables.read("checkpoints", before)
         known = spark.createDataFrame([], "path string, kind string, size bigint, mtime_ns bigint, version int") if known is None else known
         found = self._found()
+        if not full and R.diff_files(known, found).isEmpty():
+            return {"new": 0, "changed": 0, "removed": 0}
         size = found.agg(F.sum("size")).first()[0] or 0
         # the scan is written once: what is recorded as done is what was read, whatever grows meanwhile
         refresh = self.tables.begin(R.buckets_for(size), full)
@@ -86,8 +88,6 @@ class Engine:
         states = refresh.whole("changes", R.diff_files(known, found))
         counts = {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}
         del refresh.tables["changes"]
-        if not counts and not full:
-            return {"new": 0, "changed": 0, "removed": 0}
         wanted = found if full else found.join(states.where("state <> 'removed'").select("path"), "path", "left_semi")
         lines = discovery.read_lines(spark, wanted.where("session is null"))
         if self.databases:
@@ -113,11 +113,15 @@ class Engine:
 
     def table(self, name: str, conversation: str | None = None) -> DataFrame:
         """A table of the store; of one conversation, by its bucket alone."""
-        manifest = self.tables.manifest()
         if conversation is None:
-            return self.tables.read(name, manifest).drop("bucket")
-        own = self.tables.read(name, manifest, [self.tables.bucket_of(conversation, manifest)])
-        return own.where(F.col("conversation_id") == conversation).drop("bucket")
+            return self.tables.read(name).drop("bucket")
+        return self.of_conversations(name, [conversation])
+
+    def of_conversations(self, name: str, ids: list[str]) -> DataFrame:
+        """The rows of a few conversations, from their buckets alone."""
+        manifest = self.tables.manifest()
+        own = self.tables.read(name, manifest, sorted({R.bucket_number(i, manifest["buckets"]) for i in ids}))
+        return own.where(F.col("conversation_id").isin(*ids)).drop("bucket")
 
     def parse(self, path: str, provider: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(turns, conversations) of one file, without the store."""
@@ -137,7 +141,7 @@ class Engine:
         docs = self.table("search_docs")
         low = G.instant_ms(since, now, self.zone) if since else None
         only = ([search.facet_predicate("project", project)] if project else []) + ([F.col("ts_ms") >= low] if low is not None else [])
-        return search.search(docs, self.table("conversations"), query, now, limit, sort, self.zone, index=self.table("postings"), only=only)
+        return search.search(docs, self.table("conversations"), query, now, limit, sort, self.zone, index=self.table("postings"), only=only, texts=lambda ids: self.of_conversations("search_docs", ids))
 
     def ask(self, text: str, literal: bool = False, **more) -> DataFrame:
         """Turns where the text is one conversation id or exchange reference (unless ``literal``), else a search."""

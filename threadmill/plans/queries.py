@@ -222,6 +222,22 @@ def search_bm25_topk(spark, d):
     return s.orderBy(F.desc("score"), "conversation_id", "turn_index").limit(20).select("conversation_id", "turn_index", F.round("score", 6).alias("score"))
 
 
+def _indexed(spark, d, query):
+    docs = V.search_docs(spark, d)
+    return search.scored(docs, G.parse_query(query), NOW, index=search.postings(docs))
+
+
+@register("search_index_bm25", f"WITH {_BM25} SELECT conversation_id, turn_index, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, conversation_id, turn_index LIMIT 20")
+def search_index_bm25(spark, d):
+    s = _indexed(spark, d, "the and")
+    return s.orderBy(F.desc("score"), "conversation_id", "turn_index").limit(20).select("conversation_id", "turn_index", F.round("score", 6).alias("score"))
+
+
+@register("search_index_phrase", f"WITH {V.DOCS_SQL} SELECT conversation_id, turn_index FROM docs WHERE contains(' ' || array_to_string(tokens, ' ') || ' ', ' of the ') AND {_has('and')} AND {_SCOPE}")
+def search_index_phrase(spark, d):
+    return _indexed(spark, d, '"of the" and').select("conversation_id", "turn_index")
+
+
 _AGED = f"best * pow(2, -greatest(0, ({NOW} - last_ts) / 86400000.0) / 30.0)"
 
 

@@ -59,7 +59,7 @@ def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = t.select("conversation_id", "turn_index", "exchange_ordinal", "ts_ms", "role", "visible", "text", F.array(F.concat(F.lit("tool:"), F.col("role"))).alias("facets"), F.array().cast("array<string>").alias("files"), none.alias("cwd"), F.lit("-chat").alias("project"), F.lit("claude").alias("provider"), none.alias("model"), origin.alias("origin"), F.lit("conversations").alias("source_path"))
     doc_id = C.stable_id(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
     b = d.select(doc_id.alias("conversation_id"), F.lit(0).cast("bigint").alias("turn_index"), F.lit(0).cast("bigint").alias("exchange_ordinal"), (F.lit(BASE_MS) + F.col("doc_id") * 60_000).cast("bigint").alias("ts_ms"), F.lit("user").alias("role"), F.lit(True).alias("visible"), "text", F.array(F.concat(F.lit("tool_cmd:"), F.col("lang")), F.lit("is:notification")).alias("facets"), F.array(F.concat(F.lit("/data/"), F.col("source"), F.lit(".txt"))).alias("files"), F.concat(F.lit("/home/u/"), F.col("lang")).alias("cwd"), F.col("source").alias("project"), F.col("lang").alias("provider"), F.concat(F.lit("Model-"), F.col("lang")).alias("model"), F.lit("interactive").alias("origin"), F.lit("documents").alias("source_path"))
-    return a.unionByName(b).withColumn("tokens", X.analyze(F.col("text")))
+    return a.unionByName(b).withColumn("tokens", X.analyze(F.col("text"))).withColumn("length", F.size("tokens"))
 
 
 # The same tables in DuckDB SQL, as CTEs.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,52 +64,70 @@ def discover(spark: SparkSession, home: str, extra_roots: list[str] = (), disabl
     return out.where(~F.col("kind").isin(*disabled)) if disabled else out
 
 
-def lines_of(content: bytes, cap: int = LINE_CAP) -> Iterator[tuple[int, int, int, bytes | None]]:
-    """(number from 1, start, exclusive end, bytes) of each line that isn't blank; a line beyond ``cap`` has no bytes.
+def stream_lines(read: Callable[[int], bytes], cap: int = LINE_CAP, block: int = 8 << 20) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """(number from 1, start, exclusive end, bytes) of each line that isn't blank, from a reader of blocks; a line beyond ``cap`` has no bytes.
 
-    The end includes the line break; a carriage return before it isn't part of the bytes.
+    The end includes the line break; a carriage return before it isn't part of the bytes.  Memory holds a block and a line of ``cap`` bytes.
     """
-    at, number = 0, 0
-    while at < len(content):
-        stop = content.find(b"\n", at)
-        end = len(content) if stop < 0 else stop + 1
-        body = content[at : end if stop < 0 else stop].removesuffix(b"\r")
-        number += 1
-        if len(body) > cap:
-            yield number, at, end, None
-        elif body.strip():
-            yield number, at, end, body
-        at = end
+    start, number, held, dropped, last = 0, 0, b"", 0, False
+    while not last:
+        more = read(block)
+        last = not more
+        *whole, held = (held + more).split(b"\n")
+        ends = [(line, 1) for line in whole] + ([(held, 0)] if last and (held or dropped) else [])
+        for line, broken in ends:
+            number, end = number + 1, start + dropped + len(line) + broken
+            body = line.removesuffix(b"\r")
+            if dropped or len(body) > cap:
+                yield number, start, end, None
+            elif body.strip():
+                yield number, start, end, body
+            start, dropped = end, 0
+        if len(held) > cap + 1:
+            dropped, held = dropped + len(held), b""
+
+
+def lines_of(content: bytes, cap: int = LINE_CAP) -> Iterator[tuple[int, int, int, bytes | None]]:
+    return stream_lines(io.BytesIO(content).read, cap)
 
 
 LINES_SCHEMA = "path string, kind string, line bigint, byte_start bigint, byte_end bigint, raw string, oversized boolean"
+#: Log bytes, and files, that one task reads, about; lines and bytes of an Arrow batch.
+TASK_BYTES, TASK_FILES = 128 << 20, 500
+BATCH_LINES, BATCH_BYTES = 2000, 8 << 20
+
+
+def _open(path: str):
+    system, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name)
 
 
 def read_lines(spark: SparkSession, files: DataFrame, cap: int = LINE_CAP) -> DataFrame:
-    """Every physical line of the files (path, kind) with exact byte offsets.
+    """Every physical line of the files (path, kind, and size where known) with exact byte offsets.
 
-    Files are read by Spark's readers, one file a row, and cut in Arrow batches; the files' list is collected to
-    name them (a few hundred bytes a file), their content is not.
+    Tasks open the files themselves and stream them, so the driver never lists them and a file may have any size.  Paths are those of
+    a file system that all executors see; ones with a scheme go by it.
     """
-    named = {r["path"]: r["kind"] for r in files.select("path", "kind").collect()}
-    if not named:
-        return spark.createDataFrame([], LINES_SCHEMA)
-    content = spark.read.format("binaryFile").load(sorted(named)).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    kinds = spark.createDataFrame(sorted(named.items()), "path string, kind string")
+    size = F.sum("size") if "size" in files.columns else F.lit(0)
+    n, total = files.agg(F.count(F.lit(1)), size).first()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, (total or 0) // TASK_BYTES, n // TASK_FILES)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for path, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
-                for number, a, b, body in lines_of(raw, cap):
-                    rows.append((path, kind, number, a, b, None if body is None else body.decode(errors="replace"), body is None))
-                    if len(rows) == 2000:
-                        yield _batch(rows)
-                        rows = []
+                held = 0
+                with _open(path) as source:
+                    for number, a, b, body in stream_lines(source.read, cap):
+                        rows.append((path, kind, number, a, b, None if body is None else body.decode(errors="replace"), body is None))
+                        held += b - a if body is not None else 0
+                        if len(rows) == BATCH_LINES or held > BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 
-    return content.join(F.broadcast(kinds), "path").select("path", "kind", "content").mapInArrow(task, LINES_SCHEMA)
+    return files.select("path", "kind").repartition(tasks).mapInArrow(task, LINES_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

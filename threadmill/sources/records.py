@@ -448,8 +448,13 @@ def record_rows(kind: str, raw: str | None) -> list[Row]:
     return [signal, *turns]
 
 
+#: Bytes of the lines that one batch parses, about.
+BATCH_BYTES = 16 << 20
+
+
 def emit(lines: DataFrame) -> DataFrame:
-    """Rows of every line (see ``COLUMNS``), in Arrow batches; nothing depends on another line."""
+    """Rows of every line (see ``COLUMNS``), in Arrow batches of bounded bytes; nothing depends on another line."""
+    lines.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

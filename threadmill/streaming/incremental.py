@@ -14,6 +14,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,17 +113,24 @@ class Store:
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], schema) if out is None else out
 
-    def bucket_of(self, conversation_id: str, manifest: dict) -> int:
-        return self.spark.range(1).select(_bucket(F.lit(conversation_id), manifest["buckets"])).first()[0]
-
     def begin(self, buckets: int, full: bool = False) -> Refresh:
         return Refresh(self, buckets, full)
 
 
+#: Seed of Spark's xxhash64.
+_SEED = 42
+
+
 def _bucket(conversation_id, buckets: int):
     return F.pmod(F.xxhash64(conversation_id), F.lit(buckets)).cast("int")
 
 
+def bucket_number(conversation_id: str, buckets: int) -> int:
+    """The bucket of one conversation, without a Spark job."""
+    h = xxhash.xxh64_intdigest(conversation_id.encode(), seed=_SEED)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
 class Refresh:
     """One change of the store: tables are written to a new generation, and ``commit`` makes them the store's state."""
 
