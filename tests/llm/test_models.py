@@ -115,6 +115,44 @@ def test_ties_repeats_and_unusable_vectors(spark):
     assert searched(spark, rows[:3]) == brute(rows[:3], rows[:1])
 
 
+def test_doubles_wide_norms_and_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=4) * 0.73).tolist()) for i in range(100)] + [(20, [0.73, 0.73, 0.1, 0.2]), (101, [1e300, 0.0, 0.0, 0.0]), (41, [5.0, 5.0, 5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("score", F.lit(1)).withColumn("dim", F.lit(2))
+    got = {}
+    for r in A.search(A.index(df), df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for i, found in got.items():
+        assert len(found) == 20 == len({v for v, _ in found}) and i not in {v for v, _ in found}
+        asks = [np.array(v) for j, v in rows if j == i]
+        want = [sorted(((-max(float((q * np.array(v)).sum()) for k, v in rows if k == j), j) for j in {j for j, _ in rows} - {i}))[:20] for q in asks]
+        assert found in [[(j, -s) for s, j in w] for w in want]
+    assert set(got) == {0, 20, 40, 60, 80}
+    assert A.search(A.index(df.limit(0)), df.limit(0)).count() == 0
+
+
+def test_recall_in_a_dense_group_with_hubs(spark):
+    """A third of the vectors in one dense group of distinct vectors, over several shards of the registered size."""
+    rng = np.random.default_rng(12)
+    n = 20_000
+    v = rng.normal(size=(n, 16))
+    v[::3] = rng.normal(size=16) + 0.01 * rng.normal(size=(len(v[::3]), 16))
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    graphs = A.index(df)
+    assert graphs.count() == 3
+    got = {}
+    for r in A.search(graphs, df.where("vec_id % 200 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = v.astype(float)
+    recall = []
+    for i, found in got.items():
+        s = (x * x[i]).sum(axis=1)
+        s[i] = -np.inf
+        recall.append(len(found & set(np.argsort(-s, kind="stable")[:20].tolist())) / 20)
+    assert len(recall) == 100 and np.mean(recall) >= 0.9
+
+
 def test_documents_recall(spark):
     rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
     got = {}
@@ -165,3 +203,42 @@ def test_quality_fit_against_newton_on_written_differences():
     assert np.abs(z @ (m["w"] - w)).max() < 0.02 * np.abs(z @ w).max()
     assert np.isclose(m["cut"], np.quantile(z @ m["w"], (y == 0).mean()))
     assert np.isclose(quality.score(m, x), 1 / (1 + np.exp(-(m["scale"] * (z @ m["w"] - m["cut"]) + np.log(0.3 / 0.7))))).all()
+
+
+def test_kneser_ney_against_literal_counts(spark):
+    """Every word's difference of log-likelihoods, and every head's for a new rest, from literal counts of words, heads and rests."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    vocab = ["a", "toad", "toads", "toadies", "grim", "grimmer", "hammer", "hammers", "clams", "ünder", "zebra"]
+    rows = [(i, int(i % 2), " ".join(rng.choice(vocab, 12, p=np.arange(1, 12) / 66 if i % 2 else np.arange(11, 0, -1) / 66))) for i in range(40)]
+    by_word, by_head, _ = toxicity.parameters(toxicity.count_words(spark.createDataFrame(rows, "doc_id bigint, label int, text string")))
+    counts = [{}, {}]
+    for _, label, text in rows:
+        for w in text.split():
+            counts[label][w] = counts[label].get(w, 0) + 1
+    words = sorted(set(counts[0]) | set(counts[1]))
+    head, rest = lambda w: w.encode()[:4], lambda w: w.encode()[4:]
+    d = toxicity.DISCOUNT
+    heads = sorted({head(w) for w in words})
+    kinds = {h: sum(head(w) == h for w in words) for h in heads}
+    n = [{h: sum(c for w, c in counts[k].items() if head(w) == h) for h in heads} for k in (0, 1)]
+    types = [{h: sum(head(w) == h for w in counts[k]) for h in heads} for k in (0, 1)]
+
+    def p_head(k, h):
+        total, live = sum(n[k].values()), sum(x > 0 for x in n[k].values())
+        base = (kinds[h] + 1) / (len(words) + len(heads) + 1)
+        return (max(n[k][h] - d, 0) + d * live * base) / (total + d)
+
+    back = lambda k, h: min(d * max(types[k][h], 1) / n[k][h], 1) if n[k][h] else 1.0
+    follows = lambda r: sum(rest(w) == r for w in words)
+    p_rest = lambda k, w: max(counts[k].get(w, 0) - d, 0) / max(n[k][head(w)], 1) + back(k, head(w)) * follows(rest(w)) / len(words)
+    got = {r["word"]: r["l0"] for r in by_word.collect()}
+    column = pa.array(words)
+    for i, w in enumerate(words):
+        _, h, x, _ = toxicity.units(column, i, i + 1, rests=True)
+        want = np.log(p_rest(1, w)) - np.log(p_rest(0, w)) + np.log(p_head(1, head(w))) - np.log(p_head(0, head(w)))
+        assert np.isclose(got[int((x & ~np.uint64(3)).view(np.int64)[0])], want, atol=1e-5), w
+        of_head = by_head.where(F.col("head") == int(h.view(np.int64)[0])).first()["r0"]
+        some = np.log(back(1, head(w)) / back(0, head(w)) * p_head(1, head(w)) / p_head(0, head(w)))
+        assert np.isclose(of_head, some if kinds[head(w)] > 1 else some / 2, atol=1e-5), w

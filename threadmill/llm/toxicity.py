@@ -3,8 +3,8 @@
 A word is a run of letters, lower-cased, and is generated in two units: its head (the first
 ``HEAD`` bytes) and the rest given the head.  Each class has an interpolated Kneser-Ney
 bigram model of these units: P(rest | head) discounts the class's own counts and backs off to the
-continuation distribution of rests, and P(head) to that of heads; both backoff distributions
-are shared by the classes (counts pooled over both), so an expression that neither class has
+continuation distribution of rests (how many heads a rest follows), and P(head) to that of heads (how many words one begins);
+both backoff distributions are shared by the classes (types pooled over both), so an expression that neither class has
 seen costs both the same, and one with a known head is told apart by its head.
 
 A text's evidence is the difference of the two log-likelihoods, normalised by
@@ -43,23 +43,37 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def units(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, head hash, word hash) of every word of texts a to b of a string column."""
+def rest_hashes(spaced: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of what follows each word's head; 0 where nothing does."""
+    out = np.zeros(len(start), np.uint64)
+    longer = np.flatnonzero(end - start > HEAD)
+    if len(longer):
+        tails = spaced.copy()
+        for k in range(HEAD):
+            at = start + k
+            tails[at[at < end]] = 32
+        out[longer] = shingles.words(tails, off)[3]
+    return out
+
+
+def units(column: pa.Array, a: int, b: int, rests: bool = False) -> tuple[np.ndarray, ...]:
+    """(text number, head hash, word hash, and the rest's hash if asked for) of every word of texts a to b of a string column."""
     texts = [(x or "").lower() for x in column.slice(a, b - a).to_pylist()]
     data, off = shingles.text_bytes(pa.array(texts, pa.large_string()))
     n = len(data)
-    spaced = np.where(_LETTER[data], data, 32) if n else data
-    start, end, text, word = shingles.words(spaced.astype(np.uint8), off)
+    spaced = (np.where(_LETTER[data], data, 32) if n else data).astype(np.uint8)
+    start, end, text, word = shingles.words(spaced, off)
     head = np.zeros(len(start), np.uint64)
     for k in range(HEAD):
         at = start + k
         byte = np.where(at < end, spaced[np.minimum(at, n - 1)] if n else 0, 0).astype(np.uint64)
         head = head * np.uint64(257) + byte
-    return text, shingles.mix(head), word
+    found = text, shingles.mix(head), word
+    return (*found, rest_hashes(spaced, off, start, end)) if rests else found
 
 
 def count_words(sample: DataFrame) -> DataFrame:
-    """word, head, n0 to n3: counts by kind = label * 2 + half, pooled over ``sample`` (doc_id, label, text)."""
+    """word, head, rest, n0 to n3: counts by kind = label * 2 + half, pooled over ``sample`` (doc_id, label, text)."""
     support.bounded_batches(sample.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,8 +84,8 @@ def count_words(sample: DataFrame) -> DataFrame:
             kind = batch.column(1).to_numpy() * 2 + (shingles.mix(ids.astype(np.int64).astype(np.uint64)) & np.uint64(1)).astype(int)
             _, off = shingles.text_bytes(batch.column(2))
             for a, b in shingles.slices(off):
-                text, head, word = units(batch.column(2), a, b)
-                held.append((word, head, kind[a:b][text]))
+                text, head, word, rest = units(batch.column(2), a, b, rests=True)
+                held.append((word, head, rest, kind[a:b][text]))
                 size += len(word)
                 if size > 1_500_000:
                     yield _pooled(held)
@@ -79,15 +93,16 @@ def count_words(sample: DataFrame) -> DataFrame:
         if size:
             yield _pooled(held)
 
-    parts = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(task, "word bigint, head bigint, kind int, n bigint")
-    return parts.groupBy("word").agg(F.first("head").alias("head"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
+    parts = sample.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(task, "word bigint, head bigint, rest bigint, kind int, n bigint")
+    return parts.groupBy("word").agg(F.first("head").alias("head"), F.first("rest").alias("rest"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
 
 
 def _pooled(held: list[tuple]) -> pa.RecordBatch:
-    word, head, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+    word, head, rest, kind = (np.concatenate(x) for x in zip(*held, strict=True))
     key = (word & ~np.uint64(3)) | kind.astype(np.uint64)
     _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array((word[at] & ~np.uint64(3)).view(np.int64)), pa.array(head[at].view(np.int64)), pa.array(kind[at], pa.int32()), pa.array(n, pa.int64())], ["word", "head", "kind", "n"])
+    columns = [(word[at] & ~np.uint64(3)).view(np.int64), head[at].view(np.int64), rest[at].view(np.int64)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(kind[at], pa.int32()), pa.array(n, pa.int64())], ["word", "head", "rest", "kind", "n"])
 
 
 #: Kinds of the ordinary and of the toxic counts that a model reads: all rows, the rows of half 0, those of half 1.
@@ -126,11 +141,13 @@ def parameters(counts: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
         some = F.log(back[1]) - F.log(back[0]) + F.log(p_head[1]) - F.log(p_head[0])
         rest.append(F.when(F.col(f"kinds{m}") >= 2, some).when(F.col(f"kinds{m}") == 1, 0.5 * some).cast("float").alias(f"r{m}"))
     by_head = support.materialise(heads.select("head", "seen", *rest), "head-parameters")
-    joined = counts.join(heads.select("head", *[f"h{m}{c}" for m in range(3) for c in (0, 1)], *[f"kinds{m}" for m in range(3)], *cols), "head")
+    # how many heads each rest follows, over both classes
+    follows = counts.groupBy("rest").agg(*[any_(own(m, 0) + own(m, 1)).alias(f"follows{m}") for m in range(3)])
+    joined = support.hot_join(counts, follows, "rest", "inner").join(heads.select("head", *[f"h{m}{c}" for m in range(3) for c in (0, 1)], *[f"kinds{m}" for m in range(3)], *cols), "head")
     llr = []
     for m in range(3):
         pooled = own(m, 0) + own(m, 1)
-        p_back = pooled / (F.col(f"h{m}0") + F.col(f"h{m}1") + F.col(f"kinds{m}"))  # shared: rests given the head, pooled over both classes
+        p_back = F.col(f"follows{m}") / at_least_one(f"words{m}")  # shared: rests by the heads that they follow
         p_rest = [F.greatest(own(m, c) - d, F.lit(0.0)) / F.greatest(F.col(f"h{m}{c}"), F.lit(1)) + F.col(f"back{m}{c}") * p_back for c in (0, 1)]
         llr.append(F.when(pooled > 0, F.log(p_rest[1]) - F.log(p_rest[0]) + F.col(f"head{m}")).cast("float").alias(f"l{m}"))
     by_word = support.materialise(joined.select("word", sum((F.col(f"n{k}") for k in range(4)), F.lit(0)).alias("seen"), *llr), "word-parameters")
@@ -341,7 +358,8 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     A null text is empty; an empty text has a score like any other.  Rows that repeat get equal scores.
-    A null doc_id counts as '' for the hold-out and takes no label.  An empty table gives an empty result.
+    A null doc_id counts as '' for the hold-out and takes no label; an id with several labels has the largest of them.
+    An empty table gives an empty result.
     """
     out = with_score(docs, train(docs, labels), ["doc_id"]).select("doc_id", support.held_out(F.col("doc_id")).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
