@@ -39,14 +39,19 @@ PRUNED = 1 << 22
 DEGREE, SLACK = 32, 44
 BUILD_BEAM, SEARCH_BEAM, EXPAND = 64, 96, 4
 ALPHA = 1.2
-ENTRIES = 16
+ENTRIES, SPREAD = 16, 16
+#: Nearest vectors of its own batch that a new vector considers.
+MATES = 32
+#: Vectors named less often get up to so many edges more.
+RARE, EXTRA = 8, 16
 K = 20
 
 
 def beam_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, beam: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities) of the ``beam`` best vectors found for each query, best first; -1 fills up.
 
-    A search enters at the first ``ENTRIES`` vectors, which have the largest norms: few edges lead to those, and many queries want them.
+    A search enters at the first ``ENTRIES`` vectors, which have the largest norms (few edges lead to those, and many queries want them),
+    and at the next ``SPREAD``, which are random ones, so that a dense group far from the others is entered too.
     """
     b, n = len(q), len(x)
     ids = np.full((b, beam), -1, np.int64)
@@ -54,7 +59,7 @@ def beam_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, beam: int, expan
     done = np.ones((b, beam), bool)
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True
-    enter = np.arange(min(ENTRIES, n, beam))
+    enter = np.arange(min(ENTRIES + SPREAD, n, beam))
     ids[:, enter], sims[:, enter], done[:, enter] = enter, q @ x[enter].T, False
     seen[:, enter] = True
     live = np.arange(b)
@@ -108,8 +113,16 @@ def robust_prune(x: np.ndarray, square: float, cand: np.ndarray, sims: np.ndarra
     return out
 
 
+def build_order(vectors: np.ndarray, random: np.ndarray) -> np.ndarray:
+    """The vectors of the ``ENTRIES`` largest norms, then the others by ``random``: a graph that grows by norms builds its dense groups apart."""
+    scaled = vectors / max(1e-300, np.abs(vectors).max()) if len(vectors) else vectors
+    by_norm = np.lexsort((random, -(scaled**2).sum(axis=1)))
+    rest = by_norm[ENTRIES:]
+    return np.concatenate([by_norm[:ENTRIES], rest[np.argsort(random[rest], kind="stable")]])
+
+
 def build(vectors: np.ndarray, degree: int = DEGREE, slack: int = SLACK, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """(x, near): vectors with the norm component (float32), and each one's neighbours (n: none). The vectors are in descending norm.
+    """(x, near): vectors with the norm component (float32), and each one's neighbours (n: none). The vectors are in the order of ``build_order``.
 
     They are scaled to norms of at most 1, which changes no order of inner products, so any finite component fits.
     """
@@ -126,6 +139,12 @@ def build(vectors: np.ndarray, degree: int = DEGREE, slack: int = SLACK, beam: i
         b = min(n, a + min(512, max(1, a), max(16, SEEN // max(1, a))))
         new = np.arange(a, b)
         cand, sims = beam_search(x[:a], np.minimum(near[: a + 1], a), x[new], min(beam, max(a, 1)))
+        if b - a > 1:  # those of one batch don't find each other by searching; a dense group may be in one batch
+            mates = x[new] @ x[new].T
+            np.fill_diagonal(mates, -np.inf)
+            pick = np.argpartition(-mates, min(MATES, b - a - 1) - 1, axis=1)[:, :MATES]
+            pick = pick[:, : b - a - 1]
+            cand, sims = np.concatenate([cand, a + pick], axis=1), np.concatenate([sims, np.take_along_axis(mates, pick, 1)], axis=1)
         out = robust_prune(x, square, cand, sims, degree, alpha)
         near[new, :degree] = np.where(out >= 0, out, n)
         degrees[new] = (out >= 0).sum(axis=1)
@@ -162,7 +181,29 @@ def build(vectors: np.ndarray, degree: int = DEGREE, slack: int = SLACK, beam: i
             near[t, :degree] = np.where(kept >= 0, kept, n)
             degrees[t] = (kept >= 0).sum(axis=1)
         a = b
-    return x, near
+    return x, with_rare_edges(near)
+
+
+def with_rare_edges(near: np.ndarray) -> np.ndarray:
+    """``near`` with ``EXTRA`` more columns: vectors that fewer than ``RARE`` others name are named by their nearest neighbours too.
+
+    A vector at the rim of a dense group, such as the one of its largest norm, is nobody's near neighbour; without an edge to it no search ends there.
+    """
+    n = len(near) - 1
+    seen = np.bincount(near[:n].ravel(), minlength=n + 1)[:n]
+    rare = np.flatnonzero(seen < RARE)
+    to = near[rare, :EXTRA].ravel()
+    who = np.repeat(rare, min(EXTRA, near.shape[1]))
+    rank = np.tile(np.arange(min(EXTRA, near.shape[1])), len(rare))
+    real = to < n
+    to, who, rank = to[real], who[real], rank[real]
+    order = np.lexsort((who, rank, seen[who], to))  # the least named first, then the nearest
+    to, who = to[order], who[order]
+    place = np.arange(len(to)) - np.searchsorted(to, to, "left")
+    fits = place < EXTRA
+    more = np.full((n + 1, EXTRA), n, near.dtype)
+    more[to[fits], place[fits]] = who[fits]
+    return np.concatenate([near, more], axis=1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -227,8 +268,7 @@ def index(vectors: DataFrame, shard: int | None = None, most_ids: int = K + 1) -
     def task(table: pa.Table) -> pa.Table:
         dim, band, number = (table[c][0].as_py() for c in ("dim", "band", "shard"))
         vec = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-        scaled = vec / np.abs(vec).max()
-        order = np.lexsort((table["k1"].to_numpy(), -(scaled**2).sum(axis=1)))
+        order = build_order(vec, table["k1"].to_numpy())
         vec, ids = vec[order], table["ids"].combine_chunks().take(pa.array(order))
         x, near = build(vec)
         with np.errstate(over="ignore"):
