@@ -429,9 +429,9 @@ def candidate_union_priority(spark, d):
 _OPS = [("c1", 3, 48, "48", "", "", "gh pr create"), ("c1", 5, None, "48", "", "", "gh pr view 48"), ("c2", 1, None, "", "main", "", "git pull"), ("c3", 2, None, "", "", "abc1234", "git commit"), ("c3", 4, None, "48", "", "", "gh pr merge 48"), ("c5", 7, None, "7", "x/48", "", "git push"), ("c6", 0, 48, "48", "", "", "gh pr create -f")]
 _FOUND = [("c1", 100, "one", 9), ("c2", 50, "two", 8), ("c3", 90, "three", 7), ("c4", 10, "four", 6), ("c5", None, "five", 5), ("c6", None, "six", 4)]
 _TIERED = f"""WITH op AS (SELECT c, i, created, list_contains(string_split(prs, ','), $PR) AS is_pr, list_contains(string_split(branches, ','), $BRANCH) AS is_branch, list_contains(string_split(commits, ','), $COMMIT) AS is_commit, command FROM {_values(_OPS, 'c, i, created, prs, branches, commits, command')}),
-g AS (SELECT c, CASE WHEN bool_or(coalesce(created = $CREATED, false)) THEN 3 WHEN bool_or(is_pr OR is_branch OR is_commit) THEN 2 ELSE 1 END AS tier, count(*) FILTER (is_pr OR is_branch OR is_commit) AS n, min(i) FILTER (is_pr OR is_branch OR is_commit) AS at, min_by(command, i) FILTER (is_pr OR is_branch OR is_commit) AS summary FROM op GROUP BY 1),
-e AS (SELECT f.c AS conversation_id, title, CAST(coalesce(tier, 0) AS INT) AS relevance, coalesce(tier = 3, false) AS origin, CAST(f.started AS BIGINT) AS first_seen, coalesce(n, 0) AS matching_ops, CAST(coalesce(at, f.turn) AS BIGINT) AS next_turn, coalesce(summary, '') AS summary
-      FROM {_values(_FOUND, 'c, started, title, turn')} f LEFT JOIN g ON f.c = g.c)
+g AS (SELECT c, CASE WHEN bool_or(coalesce(created = $CREATED, false)) THEN 3 WHEN bool_or(is_pr OR is_branch OR is_commit) THEN 2 ELSE 1 END AS tier, count(*) FILTER (is_pr OR is_branch OR is_commit) AS n, min(i) FILTER (is_pr OR is_branch OR is_commit) AS first_at, min_by(command, i) FILTER (is_pr OR is_branch OR is_commit) AS summary FROM op GROUP BY 1),
+e AS (SELECT v.c AS conversation_id, title, CAST(coalesce(tier, 0) AS INT) AS relevance, coalesce(tier = 3, false) AS origin, CAST(v.started AS BIGINT) AS first_seen, coalesce(n, 0) AS matching_ops, CAST(coalesce(first_at, v.turn) AS BIGINT) AS next_turn, coalesce(summary, '') AS summary
+      FROM {_values(_FOUND, 'c, started, title, turn')} LEFT JOIN g ON v.c = g.c)
 SELECT * FROM e WHERE relevance >= 2 OR (SELECT max(relevance) FROM e) < 2 ORDER BY relevance DESC, first_seen NULLS FIRST, conversation_id LIMIT 8"""
 
 
